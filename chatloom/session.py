@@ -6,7 +6,10 @@ every executor can read again, so the loss of an executor costs a re-read.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,8 +37,27 @@ def get_session(app: str = "chatloom", cpus: str = "*", **conf: str) -> SparkSes
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the package to the Python workers, once per application, through Spark's own file server."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    handle, archive = tempfile.mkstemp(prefix="chatloom-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in root.rglob("*.py"):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a directory of Parquet tables, by column name."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
