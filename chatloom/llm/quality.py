@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 MOST_COMMON_WORDS = 100_000  # rows the word list may have; it goes to every worker
 
-_BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
+_BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _NOT_DIGIT = re.compile(r"\D+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _QUOTE = re.compile(r"^\s*(?:>\s?)+")
-_INVISIBLE = re.compile("[­​-‏⁠﻿️]")
+_INVISIBLE = re.compile("[\xad\u200b-\u200f\u2060\ufeff\ufe0f]")
 # fixed values: marks that open a list item
-_BULLET = re.compile(r"^\s*(?:[-*+•·–—‣▪▫◦●○■□★☆➤→✓✔✅☑✗]|#?\d{1,4}[.):]|#\d{1,4}|\(?[^\W\d_][.)]|\[[ xX✓]?\])[\s ]+")
+_BULLET = re.compile(r"^\s*(?:[-*+•·–—‣▪▫◦●○■□★☆➤→✓✔✅☑✗]|#?\d{1,4}[.):]|#\d{1,4}|\(?[^\W\d_][.)]|\[[ xX✓]?\])[\s\xa0]+")
 _COUNT = re.compile(r"^\s*\d+\s*[x×]\s+")
 _TAIL = re.compile(r"\s*\([^()]{1,40}\)\s*$")
 _URL = re.compile(r"^(?:https?://|www\.)\S+$")
@@ -140,13 +140,13 @@ def keyboard_share(words: list[str]) -> float:
 
 
 # fixed values: letters that a UTF-8 text shows when it is read in a one-byte code page
-_MOJIBAKE = re.compile("[ÃÂÐÑâ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|Р[°-џ -¿]С|[РС][\u0080-¿‚ѓ„…†‡€‰‹ЊЌЋЏђ‘’“”•–—™љ›њќћџЎўЈ¤Ґ¦§Ё©Є«¬®Ї°±Ііґµ¶·ё№є»јЅѕї]")
+_MOJIBAKE = re.compile("[ÃÂÐÑâ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|Р[°-џ\xa0-¿]С|[РС][\u0080-¿‚ѓ„…†‡€‰‹ЊЌЋЏђ‘’“”•–—™љ›њќћџЎўЈ¤Ґ¦§Ё©Є«¬®Ї°±Ііґµ¶·ё№є»јЅѕї]")
 
 
 def statistics(text: str | None, common: set[str]) -> dict:
     """The statistics of one text; a null text counts as an empty one."""
     text = text or ""
-    clear = _INVISIBLE.sub("", text).replace(" ", " ")
+    clear = _INVISIBLE.sub("", text).replace("\xa0", " ")
     lines = [_QUOTE.sub("", line) for line in _BREAK.split(clear)]
     lines = [line for line in lines if line.strip()]
     words = _WORD.findall(clear)

@@ -30,7 +30,7 @@ LABEL = 200  # characters a speaker label may have
 
 _HEAD = r"\[\d{4}-\d\d-\d\d \d\d:\d\d\] "
 _HEADER = re.compile(rf"^{_HEAD}", re.M)
-_SENTENCE = re.compile(r"[.!?…。！？]+[\"'»”’)\]]*[ \t  ]+(?=\S)|\n+")
+_SENTENCE = re.compile(r"[.!?…。！？]+[\"'»”’)\]]*[ \t\xa0\u3000]+(?=\S)|\n+")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
@@ -178,7 +178,7 @@ def split(text: str, begins: list[int], limit: int = LIMIT, overlap: tuple[int,
 def _joins(char: str) -> bool:
     import unicodedata
 
-    return unicodedata.combining(char) > 0 or char in "‍️"
+    return unicodedata.combining(char) > 0 or char in "\u200d\ufe0f"
 
 
 _PIECES = (
