@@ -8,25 +8,29 @@ of at most one row per partition.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.session import cut_lineage, parallelism
 
 
+CHUNK = "__chunk"
+
+
 def ordered_chunks(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
-    """``df`` range-partitioned by (keys, order), sorted, fixed, as a checkpoint.
+    """``df`` range-partitioned by (keys, order), sorted, fixed, as a checkpoint, with its partition number ``__chunk``.
 
-    The partition number of a row can be read as ``spark_partition_id()`` in any
-    later job: a checkpoint keeps its partitions.
+    The number travels as a column: what a task calls its own partition changes
+    under a union.
     """
     n = partitions or parallelism(df.sparkSession)
     columns = [*keys, *order]
-    return cut_lineage(df.repartitionByRange(n, *columns).sortWithinPartitions(*columns))
+    return cut_lineage(df.repartitionByRange(n, *columns).sortWithinPartitions(*columns).withColumn(CHUNK, F.spark_partition_id()))
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table, bool, bool]]:
@@ -59,10 +63,15 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
 
 
 def partition_id() -> int:
+    """The task's partition: for marks that are only compared within the job that makes them."""
     context = TaskContext.get()
     return context.partitionId() if context else 0
 
 
+def chunk_of(table: pa.Table) -> int:
+    return table.column(CHUNK)[0].as_py()
+
+
 def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], name: str = "seq") -> DataFrame:
     """``df`` with the 1-based rank of each row among the rows of its ``keys``.
 
@@ -77,7 +86,6 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], name: str =
     out_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = partition_id()
         last: tuple | None = None
         count = 0
         for batch in batches:
@@ -85,8 +93,6 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], name: str =
             if not rows:
                 continue
             columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
-            import numpy as np
-
             fresh = np.zeros(rows, dtype=bool)
             for column in columns:
                 fresh[1:] |= column[1:] != column[:-1]
@@ -102,14 +108,12 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], name: str =
             count = int(rank[-1])
             last = tuple(c[-1] for c in columns)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(rank), pa.array(np.full(rows, pid, dtype=np.int32))],
-                names=[*batch.schema.names, name, "__chunk"],
+                [*batch.columns, pa.array(rank)],
+                names=[*batch.schema.names, name],
             )
 
-    ranked = chunks.mapInArrow(number, f"{out_fields}, `{name}` bigint, `__chunk` int")
+    ranked = chunks.mapInArrow(number, f"{out_fields}, `{name}` bigint")
     counts = ranked.groupBy(*keys, "__chunk").agg(F.max(name).alias("__n"))
-    from pyspark.sql import Window
-
     # a group of many chunks has one row per chunk here: at most one per partition
     span = Window.partitionBy(*keys)
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,11 +126,6 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], name: str =
     # only a partition's first group can have rows before it: at most one row per partition
     joined = ranked.join(F.broadcast(offsets), [*keys, "__chunk"], "left")
     return joined.select(
-        *[F.col(f"`{f.name}`") for f in schema.fields],
+        *[F.col(f"`{f.name}`") for f in schema.fields if f.name != CHUNK],
         (F.col(name) + F.coalesce(F.col("__before"), F.lit(0))).alias(name),
     )
-
-
-def map_chunks(chunks: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over a checkpoint of ``ordered_chunks``."""
-    return chunks.mapInArrow(fn, schema)

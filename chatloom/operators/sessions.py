@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.operators.ordered import ordered_chunks, partition_id, runs
+from chatloom.operators.ordered import chunk_of, ordered_chunks, partition_id, runs
 from chatloom.session import cut_lineage
 
 LEAF = -1  # the "gap" of a single event
@@ -250,11 +250,11 @@ def _bridge(segments: DataFrame) -> DataFrame:
     steps_schema = "entity bigint, chunk int, step int, t_ts bigint, t_id bigint, out_ts bigint, out_id bigint"
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = partition_id()
         rows: list[tuple] = []
         for (entity,), table, first, last in runs(batches, ["entity"]):
             if not (first or last):
                 continue
+            chunk = chunk_of(table)
             opens, targets = keys(table, "first_ts", "first_id"), keys(table, "target_ts", "target_id")
             # next[i]: the next opening segment if i opens one, found from the right over a stack of falling targets
             after = [0] * len(opens)
@@ -306,8 +306,8 @@ def _bridge(segments: DataFrame) -> DataFrame:
     names = ["entity", "first_ts", "first_id", "last_ts", "last_id", "n"]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = partition_id()
         for (entity,), table, first, _ in runs(batches, ["entity"]):
+            chunk = chunk_of(table)
             opens, targets = keys(table, "first_ts", "first_id"), keys(table, "target_ts", "target_id")
             owner, _ = follow(share.value.get((entity, chunk)) if first else None, opens, targets)
             a = np.array(owner, dtype=np.int64)
