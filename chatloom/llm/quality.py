@@ -34,6 +34,8 @@ _URL = re.compile(r"^(?:https?://|www\.)\S+$")
 _END = re.compile(r"[.!?…。！？؟:;]['\"»”’)\]]*$")
 _RULE = re.compile(r"^[\s|+\-=:_*]+$")
 _TURN = re.compile(r"^\s*(?:\[[^\]\n]{4,30}\]\s*)?[^\W\d_][^:|;\t\n]{0,40}:\s+\S|^\s*\[\d[^\]\n]{3,30}\]\s*\S|^\s*[^\W\d_][^\n|;\t,]{0,40},\s*\d{1,2}:\d\d(?::\d\d)?\s*$")
+_PREFIX = re.compile(r"^\s*(?:\[[^\]\n]{4,30}\]\s*)?(?:[^\W\d_][^:|;\t\n]{0,40}:\s+|[^\W\d_][^\n|;\t,]{0,40},\s*\d{1,2}:\d\d(?::\d\d)?\s*$)|^\s*\[[^\]\n]{4,30}\]\s*")
+_FILLED = re.compile(r"[^\W_]")
 _HEADING = re.compile(r"^\s*#{1,6}\s+\S")
 _MARKUP = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,300}>|\{\{[^{}]{0,200}\}\}|\[/?[a-z]{1,10}(?:=[^\]]{0,80})?\](?=\[|\S)|&(?:[a-z]{2,8}|#\d{1,6});|<!--.{0,300}?-->|\{%.{0,200}?%\}|[\w#.-]+\s*\{[^{}]{0,200}:[^{}]{0,200};?\s*\}")
 _SIGNS = re.compile(r"[<{&]|\[/?[a-z]")
@@ -50,7 +52,7 @@ def _table_lines(lines: list[str]) -> set[int]:
         for i, line in enumerate(lines):
             if mark == "  ":
                 cells = re.split(r"\s{2,}", line.strip())
-            elif mark in line:
+            elif mark in line.strip():  # a leading tab is only an indent
                 cells = line.strip(" |" if mark == "|" else " ").split(mark)
             else:
                 continue
@@ -174,7 +176,8 @@ def statistics(text: str | None, common: set[str]) -> dict:
     marked = sum(len(m.group()) for m in _MARKUP.finditer(clear)) if _SIGNS.search(clear) else 0
     s["markup_ratio"] = marked / len(clear) if clear else 0.0
     s["long_token_ratio"] = sum(len(t) for t in tokens if len(t) >= 30 and _CODE.match(t)) / len(solid) if solid else 0.0
-    plain = [t for t in tokens if not _URL.match(t)]
+    spoken = clear if not any(map(_TURN.match, lines)) else "\n".join(_PREFIX.sub("", line, count=1) for line in lines)
+    plain = [t for t in spoken.split() if not _URL.match(t)]
     s["machine_token_ratio"] = sum(bool(_MACHINE.match(t)) for t in plain) / len(plain) if plain else 0.0
     s["keyboard_share"] = keyboard_share(low) if s["common_word_share"] < 0.1 else 0.0
     s["odd_word_share"] = sum(map(_odd_word, words)) / len(words) if words else 0.0
@@ -187,6 +190,7 @@ def statistics(text: str | None, common: set[str]) -> dict:
     s["turn_line_share"] = len(turns) / n if n else 0.0
     rest = [lines[i] for i in range(n) if i not in table and i not in items]
     s["writing_chars"] = sum(len(line) for line in rest if len(line.split()) > 4)
+    s["filled_table_lines"] = sum(bool(_FILLED.search(lines[i])) for i in table) / len(table) if table else 0.0
     s["table_chars"] = sum(len(lines[i]) for i in table)
     s["item_chars"] = sum(len(lines[i]) for i in items)
     return s
@@ -196,7 +200,7 @@ def shape_of(s: dict) -> str | None:
     """prose, list, table or junk; None for a text without anything but white space."""
     if not s["n_lines"]:
         return None
-    if s["turn_line_share"] > 0.4 and s["common_word_share"] > 0.05:
+    if s["turn_line_share"] > 0.4 and s["word_count"] and s["machine_token_ratio"] < 0.5 and s["odd_word_share"] < 0.35 and s["markup_ratio"] < 0.35 and s["mojibake_ratio"] < 0.2:
         return "prose"
     if s["markup_ratio"] > 0.35 or s["long_token_ratio"] > 0.4 or s["mojibake_ratio"] > 0.2:
         return "junk"
@@ -204,7 +208,7 @@ def shape_of(s: dict) -> str | None:
         return "junk"
     # a short list or table between paragraphs can have most of the lines, but not most of what is written
     outweighs = lambda part: s[f"{part}_line_share"] > 0.8 or s[f"{part}_chars"] >= 0.7 * s["writing_chars"]
-    if s["table_line_share"] > 0.5 and outweighs("table") and s["keyboard_share"] <= 0.5 and s["symbol_ratio"] <= 0.7:
+    if s["table_line_share"] > 0.5 and outweighs("table") and s["keyboard_share"] <= 0.5 and s["filled_table_lines"] > 0.5:
         return "table"
     if s["symbol_ratio"] > 0.5 or not s["word_count"]:
         return "junk"
