@@ -35,6 +35,7 @@ _END = re.compile(r"[.!?…。！？؟:;]['\"»”’)\]]*$")
 _RULE = re.compile(r"^[\s|+\-=:_*]+$")
 _TURN = re.compile(r"^\s*(?:\[[^\]\n]{4,30}\]\s*)?[^\W\d_][^:|;\t\n]{0,40}:\s+\S|^\s*\[\d[^\]\n]{3,30}\]\s*\S|^\s*[^\W\d_][^\n|;\t,]{0,40},\s*\d{1,2}:\d\d(?::\d\d)?\s*$")
 _PREFIX = re.compile(r"^\s*(?:\[[^\]\n]{4,30}\]\s*)?(?:[^\W\d_][^:|;\t\n]{0,40}:\s+|[^\W\d_][^\n|;\t,]{0,40},\s*\d{1,2}:\d\d(?::\d\d)?\s*$)|^\s*\[[^\]\n]{4,30}\]\s*")
+_LETTER = re.compile(r"[^\W\d_]")
 _FILLED = re.compile(r"[^\W_]")
 _HEADING = re.compile(r"^\s*#{1,6}\s+\S")
 _MARKUP = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,300}>|\{\{[^{}]{0,200}\}\}|\[/?[a-z]{1,10}(?:=[^\]]{0,80})?\](?=\[|\S)|&(?:[a-z]{2,8}|#\d{1,6});|<!--.{0,300}?-->|\{%.{0,200}?%\}|[\w#.-]+\s*\{[^{}]{0,200}:[^{}]{0,200};?\s*\}")
@@ -49,6 +50,7 @@ def _table_lines(lines: list[str]) -> set[int]:
     found: set[int] = set()
     for mark in (*_DELIMITERS, "  "):
         runs: dict[int, list[int]] = {}
+        headers: dict[int, list[int]] = {}
         for i, line in enumerate(lines):
             if mark == "  ":
                 cells = re.split(r"\s{2,}", line.strip())
@@ -62,12 +64,17 @@ def _table_lines(lines: list[str]) -> set[int]:
             words = max(len(c.split()) for c in cells)
             if words > 6 or (mark in ",;  " and any(_END.search(c.strip()) and len(c.split()) > 2 for c in cells)):
                 continue
+            if mark in ",;" and not any(c.strip() and not _LETTER.search(c) for c in cells):
+                headers.setdefault(n, []).append(i)  # words between commas are a row only beside rows with figures
+                continue
             runs.setdefault(n, []).append(i)
         for n, rows in runs.items():
             if mark == "," and n < 3:
                 continue
             if len(rows) >= 3:
                 found.update(rows)
+                if len(headers.get(n, ())) <= len(rows):
+                    found.update(headers.get(n, ()))
         if mark == "|" and found:
             found.update(i for i, line in enumerate(lines) if _RULE.match(line) and ("-" in line or "=" in line))
     return found
