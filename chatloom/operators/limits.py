@@ -1,8 +1,10 @@
 """Rate limits and other folds over the events of a key, where what counts is only what was accepted.
 
-Each has a batch form, a fold per key over sorted Arrow rows. The state of every
-fold is bounded (a time, at most ``limit`` times, a count), and keys stream
-through a task in order, so a key of any size costs memory only for its state.
+A fold's state is bounded (a time, at most ``limit`` times, a count) and is as
+good as new after a silence of a known length. So a key's events are spread over
+range partitions like any order-dependent work: a partition with such a silence
+tells the state it ends with whatever it was entered with, and only a run of
+partitions without one is followed one by one.
 """
 
 from __future__ import annotations
@@ -14,76 +16,142 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.operators.ordered import CHUNK, chunk_of, ordered_chunks, runs
 
-def _per_key(events: DataFrame, key: str, ts: str, tie: str, fold: Callable[[], Callable[[float], tuple]], names: list[str], kinds: list[str]) -> DataFrame:
-    """``events`` with the fold's outputs: rows of a key in order of (ts, tie), one fold per key."""
-    sorted_rows = events.repartition(key).sortWithinPartitions(key, ts, tie)
+
+class Fold:
+    """``step(t)`` takes an event's time and gives its outputs; ``state`` is all that it remembers."""
+
+    quiet: float  # after a silence this long the state is as good as new
+
+    def __init__(self) -> None:
+        self.state: list[float] = []
+
+    def step(self, t: float) -> tuple:
+        raise NotImplementedError
+
+
+def _per_key(events: DataFrame, key: str, ts: str, tie: str, fold: Callable[[], Fold], names: list[str], kinds: list[str]) -> DataFrame:
+    """``events`` with the fold's outputs, one fold per key over its events in order of (ts, tie).
+
+    Events of a null key are one key. Events without a time are left out.
+    """
+    keyed = events.where(F.col(ts).isNotNull()).withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit("\x00")))
+    chunks = ordered_chunks(keyed, ["__key"], [ts, tie])
+    spark = events.sparkSession
+    quiet = fold().quiet
+
+    def times(table: pa.Table) -> list:
+        return table.column(ts).to_pylist()
+
+    def follow(begin: list[float] | None, values: list) -> list[float]:
+        f = fold()
+        f.state = list(begin or [])
+        for t in values:
+            f.step(t)
+        return list(f.state)
+
+    edge_schema = "k string, chunk int, first boolean, last boolean, known boolean, state array<double>"
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for (k,), table, first, last in runs(batches, ["__key"]):
+            if not (first or last):
+                continue
+            t = times(table)
+            reset = next((i for i in range(len(t) - 1, 0, -1) if t[i] - t[i - 1] >= quiet), None if first else 0)
+            out.append((k, chunk_of(table), first, last, reset is not None, [float(x) for x in follow(None, t[reset:])] if reset is not None else []))
+        if out:
+            types = [pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["k", "chunk", "first", "last", "known", "state"])
+
+    # two rows per partition at most
+    rows = sorted(chunks.mapInArrow(edges, edge_schema).collect(), key=lambda r: (r["chunk"], not r["first"]))
+    entered: dict[tuple[str, int], list[float]] = {}
+    left: tuple[str, list[float]] | None = None
+    for r in rows:
+        k, chunk = r["k"], r["chunk"]
+        goes_on = r["first"] and left is not None and left[0] == k
+        if goes_on:
+            entered[k, chunk] = left[1]
+        if r["last"]:
+            if r["known"]:
+                left = (k, list(r["state"]))
+            else:
+                begin = entered.get((k, chunk), [])
+
+                def pass_through(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
+                    state, seen = begin, False
+                    for batch in batches:
+                        if batch.num_rows:
+                            state, seen = follow(state, batch.column(0).to_pylist()), True
+                    if seen:  # the other partitions have nothing of it
+                        yield pa.RecordBatch.from_arrays([pa.array([[float(x) for x in state]], pa.list_(pa.float64()))], names=["state"])
+
+                part = chunks.where((F.col(CHUNK) == chunk) & (F.col("__key") == k)).select(ts)
+                end = part.mapInArrow(pass_through, "state array<double>").collect()
+                left = (k, list(end[0]["state"]) if end else [])
+    share = spark.sparkContext.broadcast(entered)
+    columns = events.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    schema = fields + "".join(f", `{n}` {k}" for n, k in zip(names, kinds))
-    key_at, ts_at = events.columns.index(key), events.columns.index(ts)
+    types = [pa.bool_() if k == "boolean" else pa.float64() if k == "double" else pa.int64() for k in kinds]
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: object = fn
-        step = None
-        for batch in batches:
-            out = []
-            for k, t in zip(batch.column(key_at).to_pylist(), batch.column(ts_at).to_pylist()):
-                if step is None or k != at:
-                    at, step = k, fold()
-                out.append(step(t))
-            columns = list(zip(*out)) if out else [[] for _ in names]
-            types = [pa.bool_() if k == "boolean" else pa.float64() if k == "double" else pa.int64() for k in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, t in zip(columns, types)]], names=[*batch.schema.names, *names])
+        for (k,), table, first, _ in runs(batches, ["__key"]):
+            f = fold()
+            f.state = list(share.value.get((k, chunk_of(table)), [])) if first else []
+            out = list(zip(*(f.step(t) for t in times(table))))
+            whole = pa.table([*(table.column(c) for c in columns), *(pa.array(c, t) for c, t in zip(out, types))], names=[*columns, *names])
+            yield from whole.combine_chunks().to_batches()
+
+    return chunks.mapInArrow(fn, fields + "".join(f", `{n}` {k}" for n, k in zip(names, kinds)))
+
+
+class _Cooldown(Fold):
+    def __init__(self, seconds: float):
+        super().__init__()
+        self.quiet = self.seconds = seconds
 
-    return sorted_rows.mapInArrow(fn, schema)
+    def step(self, t: float) -> tuple:
+        wait = self.seconds - (t - self.state[0]) if self.state and self.seconds > 0 else 0.0
+        if wait > 0:
+            return False, float(wait)
+        self.state = [t]
+        return True, 0.0
 
 
 def cooldown(events: DataFrame, key: str, ts: str, tie: str, seconds: float) -> DataFrame:
     """accepted, wait: an event passes unless the last one that passed is less than ``seconds`` ago."""
+    return _per_key(events, key, ts, tie, lambda: _Cooldown(seconds), ["accepted", "wait"], ["boolean", "double"])
 
-    def fold() -> Callable[[float], tuple]:
-        last: list[float] = []
 
-        def step(t: float) -> tuple:
-            wait = seconds - (t - last[0]) if last and seconds > 0 else 0.0
-            if wait > 0:
-                return False, float(wait)
-            last[:] = [t]
-            return True, 0.0
-
-        return step
+class _Quota(Fold):
+    def __init__(self, limit: int, window: float):
+        super().__init__()
+        self.limit, self.window = limit, window
+        self.quiet = window if limit > 0 else 0.0
 
-    return _per_key(events, key, ts, tie, fold, ["accepted", "wait"], ["boolean", "double"])
+    def step(self, t: float) -> tuple:
+        if self.limit <= 0:
+            return True, 0.0
+        self.state = [h for h in self.state if h > t - self.window]
+        if len(self.state) < self.limit:
+            self.state.append(t)
+            return True, 0.0
+        return False, float(self.state[0] + self.window - t)
 
 
 def quota(events: DataFrame, key: str, ts: str, tie: str, limit: int, window: float = 3600.0) -> DataFrame:
     """accepted, wait: at most ``limit`` events pass in any ``window``; one exactly that long ago no longer counts. 0: no limit."""
-
-    def fold() -> Callable[[float], tuple]:
-        hits: deque = deque()
-
-        def step(t: float) -> tuple:
-            if limit <= 0:
-                return True, 0.0
-            while hits and hits[0] <= t - window:
-                hits.popleft()
-            if len(hits) < limit:
-                hits.append(t)
-                return True, 0.0
-            return False, float(hits[0] + window - t)
-
-        return step
-
-    return _per_key(events, key, ts, tie, fold, ["accepted", "wait"], ["boolean", "double"])
+    return _per_key(events, key, ts, tie, lambda: _Quota(limit, window), ["accepted", "wait"], ["boolean", "double"])
 
 
 def two_level_quota(events: DataFrame, user: str, ts: str, tie: str, user_limit: int, global_limit: int, window: float = 3600.0) -> DataFrame:
     """blocked_by: null, ``user`` or ``global``. A request that either level refuses uses up neither.
 
-    The global level is one key by its nature: its fold runs in one task, over
-    the events that pass a per-user necessary test. That test drops only what the
-    user level refuses whatever the global level does: nothing, in general, so
-    all events reach the task, streaming, with a bounded state per active user.
+    The global level is one key by its nature, and its outcome decides what the
+    users have used: this fold runs over all events in one task, streaming, with
+    the accepted events of one window as its state.
     """
     one = events.withColumn("__all", F.lit(1)).repartition(1).sortWithinPartitions(ts, tie)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
@@ -115,23 +183,23 @@ def two_level_quota(events: DataFrame, user: str, ts: str, tie: str, user_limit:
     return one.mapInArrow(fn, fields + ", blocked_by string")
 
 
-def coalesce_bursts(events: DataFrame, key: str, ts: str, tie: str, interval: float) -> DataFrame:
-    """sent, suppressed: the first of a burst passes; the next one that passes tells how many were held back before it."""
-
-    def fold() -> Callable[[float], tuple]:
-        state: list = [None, 0]
+class _Burst(Fold):
+    def __init__(self, interval: float):
+        super().__init__()
+        self.quiet = self.interval = interval
 
-        def step(t: float) -> tuple:
-            if state[0] is not None and t - state[0] < interval:
-                state[1] += 1
-                return False, 0
-            held = state[1]
-            state[:] = [t, 0]
-            return True, held
+    def step(self, t: float) -> tuple:
+        if self.state and t - self.state[0] < self.interval:
+            self.state[1] += 1
+            return False, 0
+        held = int(self.state[1]) if self.state else 0
+        self.state = [t, 0]
+        return True, held
 
-        return step
 
-    return _per_key(events, key, ts, tie, fold, ["sent", "suppressed"], ["boolean", "bigint"])
+def coalesce_bursts(events: DataFrame, key: str, ts: str, tie: str, interval: float) -> DataFrame:
+    """sent, suppressed: the first of a burst passes; the next one that passes tells how many were held back before it."""
+    return _per_key(events, key, ts, tie, lambda: _Burst(interval), ["sent", "suppressed"], ["boolean", "bigint"])
 
 
 def ttl_lookup(asks: DataFrame, facts: DataFrame, keys: list[str], ttl: int) -> DataFrame:
