@@ -363,3 +363,15 @@ def without_mention(text: Column, username: Column) -> Column:
 
 def is_member(status: Column, still_in: Column) -> Column:
     return F.coalesce(status.isin("creator", "administrator", "member") | ((status == "restricted") & F.coalesce(still_in, F.lit(False))), F.lit(False))
+
+
+def stats_text(messages: Column, windows: Column, embedded: Column, chats: Column, first: Column, last: Column) -> Column:
+    """Table statistics in one line; the span is left out where there are no messages."""
+    counts = F.concat(messages.cast("string"), F.lit(" messages in "), chats.cast("string"), F.lit(" chats, "), windows.cast("string"), F.lit(" windows, "), embedded.cast("string"), F.lit(" embedded"))
+    return F.concat(counts, F.when(first.isNotNull() & last.isNotNull(), F.concat(F.lit("; "), first, F.lit(" to "), last)).otherwise(F.lit("")))
+
+
+def error_report(level: Column, logger: Column, message: Column, trace: Column, most: int = 3500) -> Column:
+    """Level, logger and message of a log record, its traceback below, cut to a length."""
+    head = F.concat(level, F.lit(" "), logger, F.lit(": "), message)
+    return shortened(F.concat_ws("\n\n", head, F.when(trace != "", trace)), most)

@@ -36,6 +36,16 @@ def postings(messages: DataFrame) -> DataFrame:
     )
 
 
+def refresh_postings(index: DataFrame, changed: DataFrame) -> DataFrame:
+    """The index after some messages have changed: theirs are dropped and made anew, the rest is kept.
+
+    ``changed`` has the current row of each changed message; a null text is a
+    deleted one.
+    """
+    kept = index.join(changed.select("chat_id", "msg_id"), ["chat_id", "msg_id"], "left_anti")
+    return kept.select("term", "chat_id", "msg_id", "tf", "positions", "length").unionByName(postings(changed))
+
+
 def corpus_size(messages: DataFrame) -> DataFrame:
     """One row: n documents, avg_length in terms."""
     return messages.agg(F.count("*").alias("n"), F.avg(F.size(document_terms(F.col("text")))).alias("avg_length"))

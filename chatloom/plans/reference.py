@@ -584,3 +584,34 @@ def export_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
     entries = messages_to_entries(_messages(spark, d), pieces=F.col("msg_id") % 2 == 0)
     return entries_to_messages(entries).select("chat_id", "msg_id", "reply_to", "sender_id", "sender", "ts", "text")
+
+
+@query(f"WITH {CUR}, {_DOCS} SELECT term, chat_id, msg_id, f AS tf, dl AS length FROM tf")
+def postings_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """The index of the first texts, brought up to date with the edited messages only."""
+    rows = read_table(spark, d, "messages").dropna(subset=["chat_id", "msg_id"])
+    first = rows.groupBy("chat_id", "msg_id").agg(F.min_by("text", "id").alias("text"))
+    now = _messages(spark, d).select("chat_id", "msg_id", "text")
+    changed = now.alias("n").join(first.alias("f"), ["chat_id", "msg_id"]).where(~F.col("n.text").eqNullSafe(F.col("f.text"))).select("chat_id", "msg_id", F.col("n.text").alias("text"))
+    return search.refresh_postings(search.postings(first), changed).select("term", "chat_id", "msg_id", "tf", F.col("length").cast("bigint").alias("length"))
+
+
+@query(
+    """SELECT (SELECT count(*) FROM messages) || ' messages in ' || (SELECT count(DISTINCT chat_id) FROM messages) || ' chats, ' || (SELECT count(*) FROM windows) || ' windows, ' || (SELECT count(*) FROM window_vecs)
+    || ' embedded; ' || (SELECT strftime(make_timestamp(min(ts) * 1000000), '%Y-%m-%d %H:%M UTC') || ' to ' || strftime(make_timestamp(max(ts) * 1000000), '%Y-%m-%d %H:%M UTC') FROM messages) AS line"""
+)
+def stats_line(spark: SparkSession, d: str) -> DataFrame:
+    return stats(spark, d).select(P.stats_text(*[F.col(c) for c in ("messages", "windows", "embedded", "chats", "first_message", "last_message")]).alias("line"))
+
+
+@query()
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """Each question answered by a stand-in for a model: the first line of the second excerpt, cited."""
+    from chatloom.operators.answers import answer
+
+    def stand_in():
+        return lambda system, prompt: prompt.split("[W2] ")[-1].split("\n")[0] + " [W2] [W99]"
+
+    q = window_questions(spark, d)
+    hits = search.hybrid_search(q, _messages(spark, d), read_table(spark, d, "windows"), search.usable_vectors(read_table(spark, d, "window_vecs"), 64))
+    return answer(q, hits, stand_in, "stand-in").drop("latency_ms")

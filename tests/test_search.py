@@ -97,3 +97,27 @@ def test_pack_and_dot(spark):
     df = spark.createDataFrame([([1.0, 2.0],), (None,)], "vec array<float>")
     rows = df.select(search.unpack(search.pack(df["vec"])).alias("v"), search.dot(df["vec"], df["vec"]).alias("d")).collect()
     assert rows[0].v == [1.0, 2.0] and rows[0].d == 5.0 and rows[1].v is None and rows[1].d is None
+
+
+def test_answers(spark):
+    from chatloom.operators.answers import NOT_FOUND, answer, log_rows
+
+    questions = spark.createDataFrame([(1, "who?"), (2, "nothing"), (3, "cite none")], "qid bigint, question string")
+    hits = spark.createDataFrame([(1, 1, 10, -1005, 7, 0, "Ann", "one"), (1, 2, 11, 5, 8, 0, "Bo", "two"), (3, 1, 10, -1005, 7, 0, "Ann", "one")], "qid bigint, rank int, window_id bigint, chat_id bigint, first_msg bigint, ts_start bigint, speakers string, text string")
+
+    def make():
+        return lambda system, prompt: "Bo <says> so [W2] [W7]" if "who?" in prompt and "[W2] 1970-01-01, Bo:\ntwo" in prompt else "plain"
+
+    rows = {r.qid: r for r in answer(questions, hits, make, "m").collect()}
+    assert rows[1].cited_ids == [11] and rows[1].window_ids == [10, 11] and "&lt;says&gt;" in rows[1].display and rows[1].source_numbers == [2]
+    assert rows[2].answer == NOT_FOUND and rows[2].window_ids == [] and rows[2].sources == ""
+    assert rows[3].cited_ids == [] and rows[3].source_numbers == [1]
+    log = log_rows(answer(questions, hits, make, "m"), 5, [1]).collect()
+    assert {r.model for r in log} == {"m"} and log[0].chat_ids == [1]
+
+
+def test_postings_follow_edits(spark):
+    old = spark.createDataFrame([(1, 1, "a b"), (1, 2, "b c")], "chat_id bigint, msg_id bigint, text string")
+    new = spark.createDataFrame([(1, 2, "d"), (1, 3, "a a")], "chat_id bigint, msg_id bigint, text string")
+    got = {(r.term, r.msg_id, r.tf) for r in search.refresh_postings(search.postings(old), new).collect()}
+    assert got == {("a", 1, 1), ("b", 1, 1), ("d", 2, 1), ("a", 3, 2)}
