@@ -35,6 +35,7 @@ _END = re.compile(r"[.!?…。！？؟:;]['\"»”’)\]]*$")
 _RULE = re.compile(r"^[\s|+\-=:_*]+$")
 _TURN = re.compile(r"^\s*(?:\[[^\]\n]{4,30}\]\s*)?[^\W\d_][^:|;\t\n]{0,40}:\s+\S|^\s*\[\d[^\]\n]{3,30}\]\s*\S|^\s*[^\W\d_][^\n|;\t,]{0,40},\s*\d{1,2}:\d\d(?::\d\d)?\s*$")
 _PREFIX = re.compile(r"^\s*(?:\[[^\]\n]{4,30}\]\s*)?(?:[^\W\d_][^:|;\t\n]{0,40}:\s+|[^\W\d_][^\n|;\t,]{0,40},\s*\d{1,2}:\d\d(?::\d\d)?\s*$)|^\s*\[[^\]\n]{4,30}\]\s*")
+_WIDE = re.compile(r"\S {3,}\S")
 _LETTER = re.compile(r"[^\W\d_]")
 _FILLED = re.compile(r"[^\W_]")
 _HEADING = re.compile(r"^\s*#{1,6}\s+\S")
@@ -51,16 +52,21 @@ def _table_lines(lines: list[str]) -> set[int]:
     for mark in (*_DELIMITERS, "  "):
         runs: dict[int, list[int]] = {}
         headers: dict[int, list[int]] = {}
+        loose: list[int] = []
         for i, line in enumerate(lines):
             if mark == "  ":
                 cells = re.split(r"\s{2,}", line.strip())
             elif mark in line.strip():  # a leading tab is only an indent
-                cells = line.strip(" |" if mark == "|" else " ").split(mark)
+                body = line.strip(" ")
+                framed = mark == "|" and len(body) > 1 and body.startswith("|") and body.endswith("|")
+                cells = (body[1:-1] if framed else body).split(mark)
             else:
                 continue
             n = len(cells)
             if n < 2:
                 continue
+            if mark == "  " and _WIDE.search(line) and (n > 2 or any(not _LETTER.search(c) for c in cells)):
+                loose.append(i)  # columns by spaces, some cells grown together
             words = max(len(c.split()) for c in cells)
             if words > 6 or (mark in ",;  " and any(_END.search(c.strip()) and len(c.split()) > 2 for c in cells)):
                 continue
@@ -75,6 +81,8 @@ def _table_lines(lines: list[str]) -> set[int]:
                 found.update(rows)
                 if len(headers.get(n, ())) <= len(rows):
                     found.update(headers.get(n, ()))
+        if len(loose) >= 3:
+            found.update(loose)
         if mark == "|" and found:
             found.update(i for i, line in enumerate(lines) if _RULE.match(line) and ("-" in line or "=" in line))
     return found
