@@ -49,12 +49,17 @@ _DELIMITERS = ("|", "\t", ";", ",")
 def _table_lines(lines: list[str]) -> set[int]:
     """Lines that are rows of one table: at least three in a block, alike in their fields."""
     found: set[int] = set()
+    whole = "\n".join(lines)
     for mark in (*_DELIMITERS, "  "):
+        if whole.count(mark) < 3:
+            continue
         runs: dict[int, list[int]] = {}
         headers: dict[int, list[int]] = {}
         loose: list[int] = []
         for i, line in enumerate(lines):
             if mark == "  ":
+                if "  " not in line.strip():
+                    continue
                 cells = re.split(r"\s{2,}", line.strip())
             elif mark in line.strip():  # a leading tab is only an indent
                 body = line.strip(" ")
@@ -167,7 +172,7 @@ def statistics(text: str | None, common: set[str]) -> dict:
     lines = [_QUOTE.sub("", line) for line in _BREAK.split(clear)]
     lines = [line for line in lines if line.strip()]
     words = _WORD.findall(clear)
-    low = [w.lower() for w in words]
+    low = "\n".join(words).lower().split("\n") if words else []
     solid = "".join(clear.split())
     letters = len(_NOT_LETTER.sub("", solid))
     digits = len(_NOT_DIGIT.sub("", solid))
@@ -192,8 +197,8 @@ def statistics(text: str | None, common: set[str]) -> dict:
     s["markup_ratio"] = marked / len(clear) if clear else 0.0
     s["long_token_ratio"] = sum(len(t) for t in tokens if len(t) >= 30 and _CODE.match(t)) / len(solid) if solid else 0.0
     spoken = clear if not any(map(_TURN.match, lines)) else "\n".join(_PREFIX.sub("", line, count=1) for line in lines)
-    plain = [t for t in spoken.split() if not _URL.match(t)]
-    s["machine_token_ratio"] = sum(bool(_MACHINE.match(t)) for t in plain) / len(plain) if plain else 0.0
+    plain = [t for t in (spoken.split() if spoken is not clear else tokens) if not t.startswith(("http://", "https://", "www."))]
+    s["machine_token_ratio"] = sum(1 for t in plain if not t.isalpha() and _MACHINE.match(t)) / len(plain) if plain else 0.0
     s["keyboard_share"] = keyboard_share(low) if s["common_word_share"] < 0.1 else 0.0
     s["odd_word_share"] = sum(map(_odd_word, words)) / len(words) if words else 0.0
     s["mojibake_ratio"] = 2 * len(_MOJIBAKE.findall(clear)) / len(solid) if solid else 0.0
