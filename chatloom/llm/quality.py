@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 MOST_COMMON_WORDS = 100_000  # rows the word list may have; it goes to every worker
 
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
-_NOT_LETTER = re.compile(r"[\W\d_]+")
 _NOT_DIGIT = re.compile(r"\D+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _QUOTE = re.compile(r"^\s*(?:>\s?)+")
@@ -37,6 +36,7 @@ _TURN = re.compile(r"^\s*(?:\[[^\]\n]{4,30}\]\s*)?[^\W\d_][^:|;\t\n]{0,40}:\s+\S
 _PREFIX = re.compile(r"^\s*(?:\[[^\]\n]{4,30}\]\s*)?(?:[^\W\d_][^:|;\t\n]{0,40}:\s+|[^\W\d_][^\n|;\t,]{0,40},\s*\d{1,2}:\d\d(?::\d\d)?\s*$)|^\s*\[[^\]\n]{4,30}\]\s*")
 _WIDE = re.compile(r"\S {3,}\S")
 _LETTER = re.compile(r"[^\W\d_]")
+_PARAGRAPH = re.compile(r"\n\s*\n")
 _FILLED = re.compile(r"[^\W_]")
 _HEADING = re.compile(r"^\s*#{1,6}\s+\S")
 _MARKUP = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,300}>|\{\{[^{}]{0,200}\}\}|\[/?[a-z]{1,10}(?:=[^\]]{0,80})?\](?=\[|\S)|&(?:[a-z]{2,8}|#\d{1,6});|<!--.{0,300}?-->|\{%.{0,200}?%\}|[\w#.-]+\s*\{[^{}]{0,200}:[^{}]{0,200};?\s*\}")
@@ -95,6 +95,8 @@ def _table_lines(lines: list[str]) -> set[int]:
 
 def _item(line: str) -> bool:
     """A short item: marked and of few words, or unmarked and of very few, and not a sentence."""
+    if line.count(" ") > 40:
+        return False
     marked = bool(_BULLET.match(line))
     body = _BULLET.sub("", line, count=1) if marked else line
     body = _TAIL.sub("", _COUNT.sub("", body)).strip()
@@ -116,16 +118,22 @@ def coverage(words: list[str]) -> float:
         return 0.0
     total = sum(map(len, words))
     best = 0.0
+    counts: Counter = Counter(words)
+    places = [i for i, w in enumerate(words) if counts[w] >= 3]
     for n in (1, 2, 3, 4):
-        grams = Counter(words if n == 1 else zip(*(words[i:] for i in range(n))))
-        gram, count = grams.most_common(1)[0]
-        if count < 3:  # a longer one can't come more often
+        if not places:
             break
-        else:
-            # overlapping hits of one gram cover each word once at most
-            gram = (gram,) if n == 1 else gram
-            size = sum(map(len, gram))
-            best = max(best, min(1.0, count * size / total) / (n if len(set(gram)) == 1 else 1))
+        gram, count = counts.most_common(1)[0]
+        parts = (gram,) if n == 1 else gram
+        size = sum(map(len, parts))
+        # overlapping hits of one gram cover each word once at most
+        best = max(best, min(1.0, count * size / total) / (n if len(set(parts)) == 1 else 1))
+        # a longer gram that comes three times is made of two that do
+        follows = {i: None for i in places}
+        longer = [i for i in places if i + 1 in follows]
+        grams = [tuple(words[i : i + n + 1]) for i in longer]
+        counts = Counter(grams)
+        places = [i for i, g in zip(longer, grams) if counts[g] >= 3]
     return best
 
 
@@ -151,7 +159,7 @@ _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "йцукенгшщзхъ", "фы
 _NEAR = {a + b for row in _ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
 
 
-def keyboard_share(words: list[str]) -> float:
+def keyboard_share(words: Iterable[str]) -> float:
     """Share of neighbouring letters, within words, that are the same key or keys side by side."""
     near = total = 0
     for word in words:
@@ -168,15 +176,22 @@ _MOJIBAKE = re.compile("[ÃÂÐÑâ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ
 def statistics(text: str | None, common: set[str]) -> dict:
     """The statistics of one text; a null text counts as an empty one."""
     text = text or ""
-    clear = _INVISIBLE.sub("", text).replace("\xa0", " ")
-    lines = [_QUOTE.sub("", line) for line in _BREAK.split(clear)]
-    lines = [line for line in lines if line.strip()]
+    ascii_only = text.isascii()
+    clear = text if ascii_only else _INVISIBLE.sub("", text).replace("\xa0", " ")
+    lines = _BREAK.split(clear)
+    if ">" in clear:
+        lines = [_QUOTE.sub("", line) for line in lines]
+    lines = [line for line in lines if line and not line.isspace()]
     words = _WORD.findall(clear)
-    low = "\n".join(words).lower().split("\n") if words else []
+    kinds = Counter(words)
+    low: Counter = Counter()
+    for word, count in kinds.items():
+        low[word.lower()] += count
     solid = "".join(clear.split())
-    letters = len(_NOT_LETTER.sub("", solid))
+    joined = "".join(words)
+    letters = len(joined) - joined.count("'") - joined.count("’") - joined.count("-")
     digits = len(_NOT_DIGIT.sub("", solid))
-    paragraphs = [p for p in re.split(r"\n\s*\n", clear.replace("\r\n", "\n").replace("\r", "\n")) if p.strip()]
+    paragraphs = [p for p in _PARAGRAPH.split(clear.replace("\r\n", "\n").replace("\r", "\n")) if p.strip()] if len(lines) > 1 else lines
     n = len(lines)
     tokens = clear.split()
     s = {
@@ -187,23 +202,23 @@ def statistics(text: str | None, common: set[str]) -> dict:
         "symbol_ratio": (len(solid) - letters - digits) / len(solid) if solid else 0.0,
         "digit_ratio": digits / len(solid) if solid else 0.0,
         "end_punct_share": sum(bool(_END.search(line.rstrip())) for line in lines) / n if n else 0.0,
-        "common_word_share": sum(w in common for w in low) / len(low) if low else 0.0,
+        "common_word_share": sum(n for w, n in low.items() if w in common) / len(words) if words else 0.0,
         "dup_line_share": 1 - len(set(lines)) / n if n else 0.0,
         "dup_paragraph_share": 1 - len(set(paragraphs)) / len(paragraphs) if paragraphs else 0.0,
-        "ngram_coverage": coverage([t.lower() for t in tokens]),
-        "distinct_word_share": len(set(low)) / len(low) if low else 0.0,
+        "ngram_coverage": coverage(clear.lower().split()),
+        "distinct_word_share": len(low) / len(words) if words else 0.0,
     }
     marked = sum(len(m.group()) for m in _MARKUP.finditer(clear)) if _SIGNS.search(clear) else 0
     s["markup_ratio"] = marked / len(clear) if clear else 0.0
     s["long_token_ratio"] = sum(len(t) for t in tokens if len(t) >= 30 and _CODE.match(t)) / len(solid) if solid else 0.0
-    spoken = clear if not any(map(_TURN.match, lines)) else "\n".join(_PREFIX.sub("", line, count=1) for line in lines)
+    table = _table_lines(lines)
+    turns = {i for i, line in enumerate(lines) if (":" in line or "[" in line) and _TURN.match(line)}
+    spoken = clear if not turns else "\n".join(_PREFIX.sub("", line, count=1) for line in lines)
     plain = [t for t in (spoken.split() if spoken is not clear else tokens) if not t.startswith(("http://", "https://", "www."))]
     s["machine_token_ratio"] = sum(1 for t in plain if not t.isalpha() and _MACHINE.match(t)) / len(plain) if plain else 0.0
-    s["keyboard_share"] = keyboard_share(low) if s["common_word_share"] < 0.1 else 0.0
-    s["odd_word_share"] = sum(map(_odd_word, words)) / len(words) if words else 0.0
-    s["mojibake_ratio"] = 2 * len(_MOJIBAKE.findall(clear)) / len(solid) if solid else 0.0
-    table = _table_lines(lines)
-    turns = {i for i, line in enumerate(lines) if _TURN.match(line)}
+    s["keyboard_share"] = keyboard_share(low.elements()) if s["common_word_share"] < 0.1 else 0.0
+    s["odd_word_share"] = sum(n for w, n in kinds.items() if _odd_word(w)) / len(words) if words else 0.0
+    s["mojibake_ratio"] = 2 * len(_MOJIBAKE.findall(clear)) / len(solid) if solid and not ascii_only else 0.0
     items = {i for i, line in enumerate(lines) if i not in table and i not in turns and _item(line)}
     s["table_line_share"] = len(table - turns) / n if n else 0.0
     s["item_line_share"] = len(items) / n if n else 0.0
