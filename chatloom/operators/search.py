@@ -22,6 +22,7 @@ WEIGHT_KEYWORD, WEIGHT_VECTOR = 0.7, 1.0
 COMMON = 0.25  # a term in more than this share of the messages is dropped
 OVERFETCH = 20
 BLOCK = 65_536  # question vectors sent to the executors at a time
+SLICE = 512  # of them compared with a batch at a time
 
 
 # ---------------------------------------------------------------- term index
@@ -185,24 +186,31 @@ def knn(questions: DataFrame, vectors: DataFrame, limit: int, dim: int = 64, ext
 
         def fn(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
             qids, q, limits = share.value
-            best_s = np.full((len(q), 0), -np.inf)
-            best_i = np.full((len(q), 0), 0, dtype=np.int64)
+            best_s = np.full((len(q), limit), -np.inf)
+            best_i = np.zeros((len(q), limit), dtype=np.int64)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x, ids = _unit(batch.column(1), dim), batch.column(0).to_numpy()
-                s = np.round(q @ x.T, 6)
-                if limits:
-                    chat, lo, hi = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
-                    for k, (chats, start, end) in enumerate(limits):
-                        if chats is not None:
-                            s[k, ~np.isin(chat, chats)] = -np.inf
-                        if start is not None:
-                            s[k, ~((hi >= start) & (lo <= end))] = -np.inf
-                s = np.concatenate([best_s, s], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(ids, (len(q), len(ids)))], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :limit]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                order = np.argsort(batch.column(0).to_numpy(), kind="stable")
+                x, ids = _unit(batch.column(1), dim)[order], batch.column(0).to_numpy()[order]
+                n = len(ids)
+                places = [batch.column(i).to_numpy(zero_copy_only=False)[order] for i in (2, 3, 4)] if limits else None
+                for low in range(0, len(q), SLICE):
+                    s = np.round(q[low : low + SLICE] @ x.T, 6)
+                    if places:
+                        for k, (chats, start, end) in enumerate(limits[low : low + SLICE]):
+                            if chats is not None:
+                                s[k, ~np.isin(places[0], chats)] = -np.inf
+                            if start is not None:
+                                s[k, ~((places[2] >= start) & (places[1] <= end))] = -np.inf
+                    # one whole number per pair: the score, then the smaller id
+                    rank = np.rint(np.where(np.isfinite(s), s, -9) * 1e6).astype(np.int64) * n + (n - 1 - np.arange(n))
+                    m = min(limit, n)
+                    near = np.argpartition(-rank, m - 1, axis=1)[:, :m]
+                    both_s = np.concatenate([best_s[low : low + SLICE], np.take_along_axis(s, near, 1)], axis=1)
+                    both_i = np.concatenate([best_i[low : low + SLICE], ids[near]], axis=1)
+                    keep = np.lexsort((both_i, -both_s), axis=1)[:, :limit]
+                    best_s[low : low + SLICE], best_i[low : low + SLICE] = np.take_along_axis(both_s, keep, 1), np.take_along_axis(both_i, keep, 1)
             keep = np.isfinite(best_s)
             owner = np.repeat(qids, keep.sum(1))
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(best_i[keep]), pa.array(best_s[keep])], names=["qid", "window_id", "score"])
