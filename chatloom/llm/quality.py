@@ -2,9 +2,10 @@
 
 A document is read by its lines. Each line is a row of fields, a short item, a
 line of talk or writing, or machine output; repetition statistics (duplicate
-lines and paragraphs, the characters covered by the most frequent word n-gram)
-and character statistics catch what has nothing to read. Everything is computed
-over the whole text.
+lines and paragraphs, the characters covered by the most frequent word n-gram,
+those of sentences and long runs of words that came before) and character
+statistics catch what has nothing to read. Everything is computed over the
+whole text.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ _TURN = re.compile(r"^\s*(?:\[[^\]\n]{4,30}\]\s*)?[^\W\d_][^:|;\t\n]{0,40}:\s+\S
 _PREFIX = re.compile(r"^\s*(?:\[[^\]\n]{4,30}\]\s*)?(?:[^\W\d_][^:|;\t\n]{0,40}:\s+|[^\W\d_][^\n|;\t,]{0,40},\s*\d{1,2}:\d\d(?::\d\d)?\s*$)|^\s*\[[^\]\n]{4,30}\]\s*")
 _WIDE = re.compile(r"\S {3,}\S")
 _LETTER = re.compile(r"[^\W\d_]")
+_SENTENCE = re.compile("(?<=[.!?…])\\s+|(?<=[。！？؟])\\s*|[\n\r\x0b\x0c\x85\u2028\u2029]+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _FILLED = re.compile(r"[^\W_]")
 _HEADING = re.compile(r"^\s*#{1,6}\s+\S")
@@ -137,6 +139,38 @@ def coverage(words: list[str]) -> float:
     return best
 
 
+FEW_DISTINCT = 0.3  # share of distinct words under which a text can be endless repetition
+LONG = 24  # words of a run that is compared as a whole; prose from a template differs within so many
+
+
+def repeated(text: str, words: list[str]) -> tuple[float, float]:
+    """Share of the characters in sentences or lines, or in runs of LONG words, that stood in the text before; that of one sentence or line.
+
+    Words the text has once can't be repeated, so that runs are looked at only
+    where the others reach a half; below that the share may be less than that
+    of the runs.
+    """
+    total = sum(map(len, words))
+    if len(words) < 12:
+        return 0.0, 0.0
+    first = total - sum(map(len, set(words)))  # the characters of words that came before
+    units = Counter(_SENTENCE.split(text))
+    sizes = [len("".join(u.split())) * (n - 1) for u, n in units.items() if n > 1]
+    best, one = sum(sizes) / total, max(sizes, default=0) / total
+    if first <= 0.5 * total or best > 0.8:
+        return best, one
+    seen: set[int] = set()
+    size = end = 0
+    for i in range(len(words) - LONG + 1):
+        gram = hash(tuple(words[i : i + LONG]))
+        if gram in seen:
+            size += sum(map(len, words[max(i, end) : i + LONG]))
+            end = i + LONG
+        else:
+            seen.add(gram)
+    return max(best, size / total), one
+
+
 @lru_cache(maxsize=100_000)
 def _odd_word(word: str) -> bool:
     """A word no one could read: mixed scripts, long runs of one letter or of consonants, or case chaos."""
@@ -215,6 +249,14 @@ def statistics(text: str | None, common: set[str]) -> dict:
     turns = {i for i, line in enumerate(lines) if (":" in line or "[" in line) and _TURN.match(line)}
     spoken = clear if not turns else "\n".join(_PREFIX.sub("", line, count=1) for line in lines)
     plain = [t for t in (spoken.split() if spoken is not clear else tokens) if not t.startswith(("http://", "https://", "www."))]
+    # for the shape only, which asks for them where few words are distinct
+    s["said_coverage"] = s["repeated_share"] = s["one_repeated_share"] = 0.0
+    if s["distinct_word_share"] < FEW_DISTINCT:
+        said = spoken.lower()
+        said_words = said.split()
+        s["repeated_share"], s["one_repeated_share"] = repeated(said, said_words)
+        # of talk, what is said: its labels are alike; a few lines of it may be
+        s["said_coverage"] = coverage(said_words) if len(said_words) >= 40 else 0.0
     s["machine_token_ratio"] = sum(1 for t in plain if not t.isalpha() and _MACHINE.match(t)) / len(plain) if plain else 0.0
     s["keyboard_share"] = keyboard_share(low.elements()) if s["common_word_share"] < 0.1 else 0.0
     s["odd_word_share"] = sum(n for w, n in kinds.items() if _odd_word(w)) / len(words) if words else 0.0
@@ -235,11 +277,18 @@ def shape_of(s: dict) -> str | None:
     """prose, list, table or junk; None for a text without anything but white space."""
     if not s["n_lines"]:
         return None
+    if s["word_count"] and s["distinct_word_share"] < FEW_DISTINCT:
+        copies = max(s["dup_line_share"], s["dup_paragraph_share"])
+        share = s["repeated_share"]
+        if s["table_line_share"] > 0.5 or s["item_line_share"] > 0.5:
+            share = s["one_repeated_share"]  # rows and items of few kinds may come often
+        if s["said_coverage"] > 0.5 or share > (0.5 if copies > 0.8 else 0.8):
+            return "junk"
     if s["turn_line_share"] > 0.4 and s["word_count"] and s["machine_token_ratio"] < 0.5 and s["odd_word_share"] < 0.35 and s["markup_ratio"] < 0.35 and s["mojibake_ratio"] < 0.2:
         return "prose"
     if s["markup_ratio"] > 0.35 or s["long_token_ratio"] > 0.4 or s["mojibake_ratio"] > 0.2:
         return "junk"
-    if s["word_count"] and s["ngram_coverage"] > 0.5 and s["distinct_word_share"] < 0.3:
+    if s["word_count"] and s["ngram_coverage"] > 0.5 and s["distinct_word_share"] < FEW_DISTINCT:
         return "junk"
     # a short list or table between paragraphs can have most of the lines, but not most of what is written
     outweighs = lambda part: s[f"{part}_line_share"] > 0.8 or s[f"{part}_chars"] >= 0.7 * s["writing_chars"]

@@ -45,3 +45,30 @@ def test_tables(spark):
     got = text_quality(docs, words).collect()
     assert sorted((r.doc_id or 0, r.shape or "") for r in got) == [(0, "junk"), (1, "prose"), (1, "prose"), (2, "")] and len(got) == 4
     assert text_quality(docs.where("false"), words).collect() == []
+
+
+LINE = "every friend of the lake gets one new boat for free today"
+REPEATED = [
+    f"{LINE}\n" * 200, f"{LINE}. " * 200, f"{LINE} " * 200, f"{LINE}\n\n" * 200, "".join(f"Ann: {LINE}\n" for _ in range(200)), "".join(f"[2024-01-02 10:{i % 60:02d}] Ann: {LINE}\n" for i in range(200)),
+    f"We met there.\n{LINE}\nNobody knew who had the key. It was late.\n" * 60, "Bot: click here\n" * 40, f"Hello. {LINE}, a, 5\n" * 200,
+]
+NAMES = ["Ann", "Bo", "Cy", "Di", "Ed", "Flo", "Gus", "Hal"]
+TEMPLATED = [
+    " ".join(f"On day {i} {NAMES[i % 8]} went to the mill with {NAMES[i * 3 % 7]} and it was closed for want of {a}." for i, a in enumerate("rope pots lamps saws mugs tents boats keys chairs tables forks".split())),
+    "\n".join(f"[2024-01-02 10:{i:02d}] {NAMES[i % 8]}: the key to room {i} is on the table of {NAMES[i * 5 % 8]}" for i in range(40)), "\n".join(f"{NAMES[i % 8]}: ok" for i in range(14)),
+]
+
+
+@pytest.mark.parametrize("text", REPEATED)
+def test_endless_repetition_of_long_units_is_junk(text):
+    assert shape_of(statistics(text, COMMON)) == "junk"
+
+
+@pytest.mark.parametrize("text", TEMPLATED)
+def test_templated_prose_is_prose(text):
+    assert shape_of(statistics(text, COMMON)) == "prose"
+
+
+def test_rows_of_few_kinds_are_a_table():
+    rows = "".join(f"{('rope', 'pot', 'lamp')[i % 3]},{('yes', 'no')[i % 2]},{i % 4}\n" for i in range(300))
+    assert shape_of(statistics("thing,ok,kg\n" + rows, COMMON)) == "table"
