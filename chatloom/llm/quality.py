@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -193,14 +193,16 @@ _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "йцукенгшщзхъ", "фы
 _NEAR = {a + b for row in _ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
 
 
-def keyboard_share(words: Iterable[str]) -> float:
+@lru_cache(maxsize=100_000)
+def _near(word: str) -> int:
+    """Neighbouring letters of a word that are the same key or keys side by side."""
+    return sum(a == b or a + b in _NEAR for a, b in zip(word, word[1:]))
+
+
+def keyboard_share(words: Counter) -> float:
     """Share of neighbouring letters, within words, that are the same key or keys side by side."""
-    near = total = 0
-    for word in words:
-        for a, b in zip(word, word[1:]):
-            total += 1
-            near += a == b or a + b in _NEAR
-    return near / total if total else 0.0
+    total = sum(n * (len(w) - 1) for w, n in words.items())
+    return sum(n * _near(w) for w, n in words.items()) / total if total else 0.0
 
 
 # fixed values: letters that a UTF-8 text shows when it is read in a one-byte code page
@@ -258,7 +260,7 @@ def statistics(text: str | None, common: set[str]) -> dict:
         # of talk, what is said: its labels are alike; a few lines of it may be
         s["said_coverage"] = coverage(said_words) if len(said_words) >= 40 else 0.0
     s["machine_token_ratio"] = sum(1 for t in plain if not t.isalpha() and _MACHINE.match(t)) / len(plain) if plain else 0.0
-    s["keyboard_share"] = keyboard_share(low.elements()) if s["common_word_share"] < 0.1 else 0.0
+    s["keyboard_share"] = keyboard_share(low)
     s["odd_word_share"] = sum(n for w, n in kinds.items() if _odd_word(w)) / len(words) if words else 0.0
     s["mojibake_ratio"] = 2 * len(_MOJIBAKE.findall(clear)) / len(solid) if solid and not ascii_only else 0.0
     items = {i for i, line in enumerate(lines) if i not in table and i not in turns and _item(line)}

@@ -72,3 +72,8 @@ def test_templated_prose_is_prose(text):
 def test_rows_of_few_kinds_are_a_table():
     rows = "".join(f"{('rope', 'pot', 'lamp')[i % 3]},{('yes', 'no')[i % 2]},{i % 4}\n" for i in range(300))
     assert shape_of(statistics("thing,ok,kg\n" + rows, COMMON)) == "table"
+
+
+def test_keyboard_share_is_that_of_any_text():
+    assert statistics("the tree was red", COMMON)["keyboard_share"] == pytest.approx(5 / 9)
+    assert statistics("It was not for us", COMMON)["keyboard_share"] == pytest.approx(1 / 8)
