@@ -383,12 +383,14 @@ def success_at_k(spark: SparkSession, d: str) -> DataFrame:
 def speaker_filter(spark: SparkSession, d: str) -> DataFrame:
     """Windows by the names set by hand that their speakers hold, in any case.
 
-    A name can only be found where one of its parts' first three letters begins a
-    stretch of the speakers, so both sides meet on those three letters.
+    A name can only be found where its first three letters begin a stretch of the
+    speakers, so both sides meet on those three letters, or on all that a shorter name has.
     """
     w = read_table(spark, d, "windows").select(F.col("id").alias("window_id"), F.lower(F.coalesce("speakers", F.lit(""))).alias("low"))
     names = read_table(spark, d, "people").where("source = 'manual'").select("display_name").distinct().withColumn("key", F.substring(F.lower("display_name"), 1, 3))
-    grams = w.withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(3))))))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))
+    of_size = lambda n: F.transform(starts, lambda i: F.substring(F.col("low"), i, F.lit(n)))
+    grams = w.withColumn("key", F.explode(F.array_distinct(F.concat(*[of_size(n) for n in (0, 1, 2, 3)]))))
     return grams.join(names, "key").where(F.contains(F.col("low"), F.lower("display_name"))).select("window_id", "display_name")
 
 
