@@ -15,6 +15,7 @@ pasted into a message stay part of it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 LIMIT = 2_000
 OVERLAP = (100, 200)
 BLOCK = 6  # units on each side of a gap
-LABEL = 200  # characters a speaker label may have
 
 _HEAD = r"\[\d{4}-\d\d-\d\d \d\d:\d\d\] "
 _HEADER = re.compile(rf"^{_HEAD}", re.M)
@@ -61,27 +61,31 @@ def align(text: str, turns: list[tuple[int, int, list[tuple[int, int]]]]) -> lis
                 last = stamp
         begins = begins or [0]
         return [(-1, a, b) for a, b in zip(begins, [*begins[1:], size])]
+    by_stamp: dict[str, list[int]] = {}
+    for p in heads:
+        by_stamp.setdefault(text[p : p + 19], []).append(p)
     out: list[tuple[int, int, int]] = []
     pos = 0
-    for k, (ts, msg, texts) in enumerate(turns):
+    for ts, msg, texts in turns:
         stamp = datetime.fromtimestamp(ts, timezone.utc).strftime("[%Y-%m-%d %H:%M] ")
         if not text.startswith(stamp, pos):
             # the message before was unknown, or longer than thought: go to the next header of this minute
-            at = next((p for p in heads if p >= pos and text.startswith(stamp, p)), -1)
-            if at < 0:
+            places = by_stamp.get(stamp, [])
+            at = bisect_left(places, pos)
+            if at == len(places):
                 continue
-            pos = at
+            pos = places[at]
         body = pos + len(stamp)
         stop = text.find("\n", body)
         stop = size if stop < 0 else stop
         end = -1
-        colon = text.find(": ", body, min(stop + 2, body + LABEL))
+        colon = text.find(": ", body, stop + 2)
         while colon >= 0:
             for length, value in texts:
                 tail = colon + 2 + length
                 if tail > end and (tail == size or text.startswith("\n[", tail)) and hash_of(text[colon + 2 : tail]) == value:
                     end = tail
-            colon = text.find(": ", colon + 1, min(stop + 2, body + LABEL))
+            colon = text.find(": ", colon + 1, stop + 2)
         if out and out[-1][2] < 0:
             out[-1] = (out[-1][0], out[-1][1], pos)
         out.append((msg, pos, end))
@@ -94,36 +98,52 @@ def align(text: str, turns: list[tuple[int, int, list[tuple[int, int]]]]) -> lis
 
 
 def depths(text: str, gaps: list[int], block: int = BLOCK) -> np.ndarray:
-    """How deep the similarity of the blocks around each gap lies under the peaks on both sides."""
+    """How deep the similarity of the blocks around each gap lies under the peaks on both sides.
+
+    A word's entry meets at most ``2 * block`` others, so that time and memory
+    are in proportion to the words, whatever their number.
+    """
     n = len(gaps) + 1
     if n < 3:
         return np.zeros(len(gaps))
-    edges = np.array([0, *gaps, len(text)])
     words: dict[str, int] = {}
-    row, column = [], []
-    for m in _WORD.finditer(text.lower() if len(text.lower()) == len(text) else text):
-        row.append(m.start())
-        column.append(words.setdefault(m.group(), len(words)))
-    if not row:
+    low = text.lower()
+    found = [(m.start(), words.setdefault(m.group(), len(words))) for m in _WORD.finditer(low if len(low) == len(text) else text)]
+    if not found:
         return np.zeros(len(gaps))
-    unit = np.searchsorted(edges, np.array(row), side="right") - 1
-    counts = np.zeros((n + 1, len(words)), dtype=np.float32)
-    np.add.at(counts, (np.minimum(unit, n - 1) + 1, np.array(column)), 1)
-    total = np.cumsum(counts, axis=0)
-    at = np.arange(1, n)
-    left = total[at] - total[np.maximum(at - block, 0)]
-    right = total[np.minimum(at + block, n)] - total[at]
-    norm = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
-    sim = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0.0)
+    place, word = np.array(found, dtype=np.int64).T
+    unit = np.searchsorted(np.array(gaps), place, side="right")
+    held, count = np.unique(word * n + unit, return_counts=True)  # one entry for each word of each unit, by word and unit
+    word, unit = np.divmod(held, n)
+    # a pair of entries of one word adds to the blocks of a stretch of gaps: sums of its beginnings and ends
+    dot, left, right = (np.zeros(n + block + 1) for _ in range(3))
+    for step in range(min(2 * block, len(held))):
+        a, b = unit[: len(unit) - step], unit[step:]
+        near = (word[: len(word) - step] == word[step:]) & (b - a < 2 * block)
+        a, b = a[near], b[near]
+        weight = (count[: len(count) - step] * count[step:])[near].astype(np.float64)
+        if step:  # one on each side of the gap
+            np.add.at(dot, np.maximum(a, b - block) + 1, weight)
+            np.add.at(dot, np.minimum(b, a + block) + 1, -weight)
+        both = b - a < block  # both on one side
+        a, b, weight = a[both], b[both], weight[both] * (2 if step else 1)
+        np.add.at(left, b + 1, weight)
+        np.add.at(left, a + block + 1, -weight)
+        np.add.at(right, np.maximum(b - block + 1, 0), weight)
+        np.add.at(right, a + 1, -weight)
+    dot, left, right = (np.cumsum(x)[1:n] for x in (dot, left, right))
+    norm = np.sqrt(left * right)
+    sim = np.where(norm > 0, dot / np.maximum(norm, 1e-9), 0.0)
     # climb to the nearest peak on either side
-    up_left, up_right = sim.copy(), sim.copy()
-    for i in range(1, len(sim)):
-        if up_left[i - 1] >= sim[i]:
+    values = sim.tolist()
+    up_left, up_right = values.copy(), values.copy()
+    for i in range(1, len(values)):
+        if values[i - 1] >= values[i]:
             up_left[i] = up_left[i - 1]
-    for i in range(len(sim) - 2, -1, -1):
-        if up_right[i + 1] >= sim[i]:
+    for i in range(len(values) - 2, -1, -1):
+        if values[i + 1] >= values[i]:
             up_right[i] = up_right[i + 1]
-    return (up_left - sim) + (up_right - sim)
+    return np.array(up_left) + np.array(up_right) - 2 * sim
 
 
 def split(text: str, begins: list[int], limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) -> list[tuple[int, int, str]]:

@@ -1,4 +1,6 @@
 import random
+import tracemalloc
+from collections import Counter
 from datetime import datetime, timezone
 
 import pytest
@@ -105,3 +107,48 @@ def test_nulls_and_clashing_columns(spark):
     m = spark.createDataFrame([(None,) * 8], "id bigint, chat_id bigint, msg_id bigint, reply_to bigint, sender_id bigint, sender string, ts bigint, text string")
     rows = S.oversized_pieces(w, m).collect()
     assert {r.window_id for r in rows} == {1} and {r.cut for r in rows} == {"inside"} and rows[0].first_msg is None
+
+
+def dense(text, gaps, block=S.BLOCK):
+    """The depths by their definition."""
+    edges = [0, *gaps, len(text)]
+    units = [Counter(S._WORD.findall(text[a:b].lower())) for a, b in zip(edges, edges[1:])]
+    sims = []
+    for i in range(1, len(units)):
+        left, right = sum(units[max(0, i - block) : i], Counter()), sum(units[i : i + block], Counter())
+        norm = (sum(v * v for v in left.values()) * sum(v * v for v in right.values())) ** 0.5
+        sims.append(sum(n * right[w] for w, n in left.items()) / norm if norm else 0.0)
+
+    def peak(xs, i):
+        while i and xs[i - 1] >= xs[i] - 1e-12:
+            i -= 1
+        return xs[i]
+
+    n = len(sims)
+    return [peak(sims, i) + peak(sims[::-1], n - 1 - i) - 2 * s for i, s in enumerate(sims)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_depths_are_those_of_the_definition(seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 4))) for _ in range(30)]
+    text = "".join(rng.choice(words) + rng.choice([" ", " ", " ", ". ", "\n"]) for _ in range(rng.choice([3, 40, 600])))
+    gaps = sorted({m.end() for m in S._SENTENCE.finditer(text)} - {len(text)})
+    assert list(S.depths(text, gaps)) == pytest.approx(dense(text, gaps), abs=1e-9)
+
+
+def test_two_million_characters_in_little_memory():
+    text = " ".join(f"w{i % 977}x{i % 13} of{i}. Th\n" for i in range(110_000))
+    assert len(text) > 2_000_000
+    tracemalloc.start()
+    check(text, S.split(text, []))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
+def test_a_long_label_is_a_label(spark):
+    turns = [(1, 60, "x" * 1500), (2, 120, "y" * 1500)]
+    text = "\n".join(line(ts, "A: " * 150 + "b", t) for _, ts, t in turns)
+    w, m = frames(spark, turns, [text], 1, 2)
+    assert {r.cut for r in S.oversized_pieces(w, m).collect()} == {"between"}
