@@ -13,7 +13,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import compress, filterfalse
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,35 +23,82 @@ from pyspark.sql import functions as F
 MOST_COMMON_WORDS = 100_000  # rows the word list may have; it goes to every worker
 
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
-_NOT_DIGIT = re.compile(r"\D+")
+_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_ASCII_WORD = re.compile(r"[A-Za-z]+(?:['-][A-Za-z]+)*")  # the same in plain text
 _QUOTE = re.compile(r"^\s*(?:>\s?)+")
 _INVISIBLE = re.compile("[\xad\u200b-\u200f\u2060\ufeff\ufe0f]")
 # fixed values: marks that open a list item
 _BULLET = re.compile(r"^\s*(?:[-*+•·–—‣▪▫◦●○■□★☆➤→✓✔✅☑✗]|#?\d{1,4}[.):]|#\d{1,4}|\(?[^\W\d_][.)]|\[[ xX✓]?\])[\s\xa0]+")
 _COUNT = re.compile(r"^\s*\d+\s*[x×]\s+")
-_TAIL = re.compile(r"\s*\([^()]{1,40}\)\s*$")
 _URL = re.compile(r"^(?:https?://|www\.)\S+$")
-_END = re.compile(r"[.!?…。！？؟:;]['\"»”’)\]]*$")
+# fixed values: what a sentence ends with, and what may close behind it
+_ENDS = frozenset(".!?…。！？؟:;")
+_CLOSERS = "'\"»”’)]"
 _RULE = re.compile(r"^[\s|+\-=:_*]+$")
 _TURN = re.compile(r"^\s*(?:\[[^\]\n]{4,30}\]\s*)?[^\W\d_][^:|;\t\n]{0,40}:\s+\S|^\s*\[\d[^\]\n]{3,30}\]\s*\S|^\s*[^\W\d_][^\n|;\t,]{0,40},\s*\d{1,2}:\d\d(?::\d\d)?\s*$")
 _PREFIX = re.compile(r"^\s*(?:\[[^\]\n]{4,30}\]\s*)?(?:[^\W\d_][^:|;\t\n]{0,40}:\s+|[^\W\d_][^\n|;\t,]{0,40},\s*\d{1,2}:\d\d(?::\d\d)?\s*$)|^\s*\[[^\]\n]{4,30}\]\s*")
+_CONTROL = re.compile("[\x1c-\x1e]")  # Python breaks lines there, this module doesn't
 _WIDE = re.compile(r"\S {3,}\S")
 _LETTER = re.compile(r"[^\W\d_]")
 _SENTENCE = re.compile("(?<=[.!?…])\\s+|(?<=[。！？؟])\\s*|[\n\r\x0b\x0c\x85\u2028\u2029]+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _FILLED = re.compile(r"[^\W_]")
 _HEADING = re.compile(r"^\s*#{1,6}\s+\S")
-_MARKUP = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,300}>|\{\{[^{}]{0,200}\}\}|\[/?[a-z]{1,10}(?:=[^\]]{0,80})?\](?=\[|\S)|&(?:[a-z]{2,8}|#\d{1,6});|<!--.{0,300}?-->|\{%.{0,200}?%\}|[\w#.-]+\s*\{[^{}]{0,200}:[^{}]{0,200};?\s*\}")
+# tags, templates, bracket tags, entities, statements, and blocks of "property: value" after a selector; each ends before the next of its kind opens
+_MARKUP = re.compile(
+    r"<[/!]?[a-zA-Z](?:[^<>\n]|\n(?!\s*\n))*+>|\{\{[^{}]*+\}\}|\{%[^{}%]*+%\}|\[/?[a-z]{1,10}(?:=[^\[\]]*+)?\](?=\[|\S)|&(?:[a-z]{2,8}|#\d{1,6});|(?P<block>\{[^{}:]*+:[^{}]*+\})"
+)
 _SIGNS = re.compile(r"[<{&]|\[/?[a-z]")
-_MACHINE = re.compile(r"^(?=.*[\d=:/\\{}<>\[\]_])[^\s]{2,}$")
+_MACHINE = re.compile(r"[\d=:/\\{}<>\[\]_]")
+_LINKS = ("http://", "https://", "www.")
 _CODE = re.compile(r"^[\w+/=-]{30,}$")
 _DELIMITERS = ("|", "\t", ";", ",")
 
 
-def _table_lines(lines: list[str]) -> set[int]:
-    """Lines that are rows of one table: at least three in a block, alike in their fields."""
+def _ends(line: str) -> bool:
+    """Whether a line without space at its end closes a sentence."""
+    return line.rstrip(_CLOSERS)[-1:] in _ENDS
+
+
+def markup_length(text: str) -> int:
+    """Characters of tags, templates, comments and style blocks, in one pass over the text."""
+    if not _SIGNS.search(text):
+        return 0
+    total = 0
+    if "<!--" in text:
+        kept, at = [], 0
+        while (begin := text.find("<!--", at)) >= 0 and (end := text.find("-->", begin + 4)) >= 0:
+            kept.append(text[at:begin])
+            total += end + 3 - begin
+            at = end + 3
+        text = " ".join([*kept, text[at:]])
+    last = 0
+    for m in _MARKUP.finditer(text):
+        begin, end = m.span()
+        if m["block"] is not None:
+            at = begin
+            while at > last and text[at - 1].isspace():
+                at -= 1
+            begin = at
+            while at > last and (text[at - 1].isalnum() or text[at - 1] in "_#.-"):
+                at -= 1
+            if at == begin:
+                continue  # no selector
+            begin = at
+        total += end - begin
+        last = end
+    return total
+
+
+MOST_CELL_WORDS = 6
+
+
+def _table_lines(lines: list[str], sizes: list[int]) -> set[int]:
+    """Lines that are rows of one table: at least three in a block, alike in their fields. ``sizes``: words of each line."""
     found: set[int] = set()
+    if len(lines) < 3:
+        return found
     whole = "\n".join(lines)
     for mark in (*_DELIMITERS, "  "):
         if whole.count(mark) < 3:
@@ -59,6 +107,8 @@ def _table_lines(lines: list[str]) -> set[int]:
         headers: dict[int, list[int]] = {}
         loose: list[int] = []
         for i, line in enumerate(lines):
+            if mark not in line or (mark in ",;" and sizes[i] > MOST_CELL_WORDS * (line.count(mark) + 1)):
+                continue  # some cell has too many words
             if mark == "  ":
                 if "  " not in line.strip():
                     continue
@@ -75,7 +125,7 @@ def _table_lines(lines: list[str]) -> set[int]:
             if mark == "  " and _WIDE.search(line) and (n > 2 or any(not _LETTER.search(c) for c in cells)):
                 loose.append(i)  # columns by spaces, some cells grown together
             words = max(len(c.split()) for c in cells)
-            if words > 6 or (mark in ",;  " and any(_END.search(c.strip()) and len(c.split()) > 2 for c in cells)):
+            if words > MOST_CELL_WORDS or (mark in ",;  " and any(_ends(c.strip()) and len(c.split()) > 2 for c in cells)):
                 continue
             if mark in ",;" and not any(c.strip() and not _LETTER.search(c) for c in cells):
                 headers.setdefault(n, []).append(i)  # words between commas are a row only beside rows with figures
@@ -95,19 +145,27 @@ def _table_lines(lines: list[str]) -> set[int]:
     return found
 
 
-def _item(line: str) -> bool:
-    """A short item: marked and of few words, or unmarked and of very few, and not a sentence."""
-    if line.count(" ") > 40:
+MOST_ITEM_WORDS = 40  # a mark, a count, seven words and a tail of 40 characters have fewer
+
+
+def _item(line: str, size: int) -> bool:
+    """A short item: marked and of few words, or unmarked and of very few, and not a sentence. ``size``: its words."""
+    if size > MOST_ITEM_WORDS:
         return False
-    marked = bool(_BULLET.match(line))
-    body = _BULLET.sub("", line, count=1) if marked else line
-    body = _TAIL.sub("", _COUNT.sub("", body)).strip()
+    mark = _BULLET.match(line)
+    marked = mark is not None
+    body = line[mark.end() :] if mark else line
+    if body.lstrip()[:1].isdigit():
+        body = _COUNT.sub("", body)
+    body = body.strip()
+    if body.endswith(")") and 1 <= len(tail := body[body.rfind("(") + 1 : -1]) <= 40 and ")" not in tail and "(" in body:
+        body = body[: body.rfind("(")].rstrip()
     if not body:
         return marked
     if _URL.match(body):
         return True
     words = body.split()
-    if _END.search(body) and len(words) > 2:
+    if len(words) > 2 and _ends(body):
         return False
     if "?" in body or "!" in body:
         return False
@@ -116,29 +174,34 @@ def _item(line: str) -> bool:
 
 def coverage(words: list[str]) -> float:
     """Share of the words' characters covered by the most frequent 1- to 4-gram that comes at least three times."""
-    if len(words) < 12:
-        return 0.0
     total = sum(map(len, words))
     best = 0.0
     counts: Counter = Counter(words)
-    places = [i for i, w in enumerate(words) if counts[w] >= 3]
+    grams: list = words
+    places: list[int] = []
     for n in (1, 2, 3, 4):
-        if not places:
+        count = max(counts.values(), default=0)
+        if count < 3:
             break
-        gram, count = counts.most_common(1)[0]
+        gram = next(g for g, c in counts.items() if c == count)
         parts = (gram,) if n == 1 else gram
-        size = sum(map(len, parts))
         # overlapping hits of one gram cover each word once at most
-        best = max(best, min(1.0, count * size / total) / (n if len(set(parts)) == 1 else 1))
+        best = max(best, min(1.0, count * sum(map(len, parts)) / total) / (n if len(set(parts)) == 1 else 1))
         # a longer gram that comes three times is made of two that do
-        follows = {i: None for i in places}
-        longer = [i for i in places if i + 1 in follows]
-        grams = [tuple(words[i : i + n + 1]) for i in longer]
+        if n == 1:
+            often = {w for w, c in counts.items() if c >= 3}
+            held = list(map(often.__contains__, words))
+            both = list(map(and_, held, held[1:]))
+            places, grams = list(compress(range(len(both)), both)), list(compress(zip(words, words[1:]), both))
+        else:
+            follows = {i for i, g in zip(places, grams) if counts[g] >= 3}
+            places = [i for i in places if i in follows and i + 1 in follows]
+            grams = [tuple(words[i : i + n + 1]) for i in places]
         counts = Counter(grams)
-        places = [i for i, g in zip(longer, grams) if counts[g] >= 3]
     return best
 
 
+ENOUGH = 12  # words a text needs for its repetition to tell anything
 FEW_DISTINCT = 0.3  # share of distinct words under which a text can be endless repetition
 LONG = 24  # words of a run that is compared as a whole; prose from a template differs within so many
 
@@ -151,7 +214,7 @@ def repeated(text: str, words: list[str]) -> tuple[float, float]:
     of the runs.
     """
     total = sum(map(len, words))
-    if len(words) < 12:
+    if not total:
         return 0.0, 0.0
     first = total - sum(map(len, set(words)))  # the characters of words that came before
     units = Counter(_SENTENCE.split(text))
@@ -171,7 +234,6 @@ def repeated(text: str, words: list[str]) -> tuple[float, float]:
     return max(best, size / total), one
 
 
-@lru_cache(maxsize=100_000)
 def _odd_word(word: str) -> bool:
     """A word no one could read: mixed scripts, long runs of one letter or of consonants, or case chaos."""
     low = word.lower()
@@ -193,16 +255,24 @@ _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "йцукенгшщзхъ", "фы
 _NEAR = {a + b for row in _ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
 
 
-@lru_cache(maxsize=100_000)
 def _near(word: str) -> int:
     """Neighbouring letters of a word that are the same key or keys side by side."""
     return sum(a == b or a + b in _NEAR for a, b in zip(word, word[1:]))
 
 
-def keyboard_share(words: Counter) -> float:
-    """Share of neighbouring letters, within words, that are the same key or keys side by side."""
-    total = sum(n * (len(w) - 1) for w, n in words.items())
-    return sum(n * _near(w) for w, n in words.items()) / total if total else 0.0
+REMEMBERED = 200_000  # words whose facts a worker remembers
+_facts: dict[str, tuple[str, int, bool]] = {}
+
+
+def word_facts(word: str) -> tuple[str, int, bool]:
+    """A word in small letters, its pairs of near keys, and whether no one could read it."""
+    if len(_facts) >= REMEMBERED:
+        _facts.clear()
+    low = word.lower()
+    facts = (low, _near(low), _odd_word(word))
+    if len(word) <= 64:
+        _facts[word] = facts
+    return facts
 
 
 # fixed values: letters that a UTF-8 text shows when it is read in a one-byte code page
@@ -214,22 +284,30 @@ def statistics(text: str | None, common: set[str]) -> dict:
     text = text or ""
     ascii_only = text.isascii()
     clear = text if ascii_only else _INVISIBLE.sub("", text).replace("\xa0", " ")
-    lines = _BREAK.split(clear)
+    lines = _BREAK.split(clear) if _CONTROL.search(clear) else clear.splitlines()
     if ">" in clear:
         lines = [_QUOTE.sub("", line) for line in lines]
     lines = [line for line in lines if line and not line.isspace()]
-    words = _WORD.findall(clear)
+    words = (_ASCII_WORD if ascii_only else _WORD).findall(clear)
+    tokens = clear.split()
     kinds = Counter(words)
-    low: Counter = Counter()
+    known, near, pairs, odd, usual = _facts, 0, 0, 0, 0
+    distinct: set[str] = set()
     for word, count in kinds.items():
-        low[word.lower()] += count
-    solid = "".join(clear.split())
+        low, keys, strange = known.get(word) or word_facts(word)
+        distinct.add(low)
+        pairs += count * (len(low) - 1)
+        near += count * keys
+        if strange:
+            odd += count
+        if low in common:
+            usual += count
+    solid = "".join(tokens)
     joined = "".join(words)
     letters = len(joined) - joined.count("'") - joined.count("’") - joined.count("-")
-    digits = len(_NOT_DIGIT.sub("", solid))
+    digits = len(_DIGIT.findall(clear))
     paragraphs = [p for p in _PARAGRAPH.split(clear.replace("\r\n", "\n").replace("\r", "\n")) if p.strip()] if len(lines) > 1 else lines
     n = len(lines)
-    tokens = clear.split()
     s = {
         "n_chars": len(text),
         "n_lines": n,
@@ -237,21 +315,21 @@ def statistics(text: str | None, common: set[str]) -> dict:
         "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
         "symbol_ratio": (len(solid) - letters - digits) / len(solid) if solid else 0.0,
         "digit_ratio": digits / len(solid) if solid else 0.0,
-        "end_punct_share": sum(bool(_END.search(line.rstrip())) for line in lines) / n if n else 0.0,
-        "common_word_share": sum(n for w, n in low.items() if w in common) / len(words) if words else 0.0,
+        "end_punct_share": sum(_ends(line.rstrip()) for line in lines) / n if n else 0.0,
+        "common_word_share": usual / len(words) if words else 0.0,
         "dup_line_share": 1 - len(set(lines)) / n if n else 0.0,
         "dup_paragraph_share": 1 - len(set(paragraphs)) / len(paragraphs) if paragraphs else 0.0,
         "ngram_coverage": coverage(clear.lower().split()),
-        "distinct_word_share": len(low) / len(words) if words else 0.0,
+        "distinct_word_share": len(distinct) / len(words) if words else 0.0,
     }
-    marked = sum(len(m.group()) for m in _MARKUP.finditer(clear)) if _SIGNS.search(clear) else 0
-    s["markup_ratio"] = marked / len(clear) if clear else 0.0
-    s["long_token_ratio"] = sum(len(t) for t in tokens if len(t) >= 30 and _CODE.match(t)) / len(solid) if solid else 0.0
-    table = _table_lines(lines)
+    s["markup_ratio"] = markup_length(clear) / len(clear) if clear else 0.0
+    s["long_token_ratio"] = sum(len(t) for t in tokens if len(t) >= 30 and _CODE.match(t)) / len(solid) if tokens and max(map(len, tokens)) >= 30 else 0.0
+    sizes = [len(line.split()) for line in lines]
+    table = _table_lines(lines, sizes)
     turns = {i for i, line in enumerate(lines) if (":" in line or "[" in line) and _TURN.match(line)}
     spoken = clear if not turns else "\n".join(_PREFIX.sub("", line, count=1) for line in lines)
-    plain = [t for t in (spoken.split() if spoken is not clear else tokens) if not t.startswith(("http://", "https://", "www."))]
     # for the shape only, which asks for them where few words are distinct
+    s["n_tokens"] = len(tokens)
     s["said_coverage"] = s["repeated_share"] = s["one_repeated_share"] = 0.0
     if s["distinct_word_share"] < FEW_DISTINCT:
         said = spoken.lower()
@@ -259,16 +337,19 @@ def statistics(text: str | None, common: set[str]) -> dict:
         s["repeated_share"], s["one_repeated_share"] = repeated(said, said_words)
         # of talk, what is said: its labels are alike; a few lines of it may be
         s["said_coverage"] = coverage(said_words) if len(said_words) >= 40 else 0.0
-    s["machine_token_ratio"] = sum(1 for t in plain if not t.isalpha() and _MACHINE.match(t)) / len(plain) if plain else 0.0
-    s["keyboard_share"] = keyboard_share(low)
-    s["odd_word_share"] = sum(n for w, n in kinds.items() if _odd_word(w)) / len(words) if words else 0.0
+    plain = tokens if spoken is clear else spoken.split()
+    signed = list(filterfalse(str.isalpha, plain))
+    links = sum(t.startswith(_LINKS) for t in signed) if "://" in spoken or "www." in spoken else 0
+    machine = sum(1 for t in signed if len(t) > 1 and _MACHINE.search(t) and not (links and t.startswith(_LINKS)))
+    s["machine_token_ratio"] = machine / (len(plain) - links) if len(plain) > links else 0.0
+    s["keyboard_share"] = near / pairs if pairs else 0.0
+    s["odd_word_share"] = odd / len(words) if words else 0.0
     s["mojibake_ratio"] = 2 * len(_MOJIBAKE.findall(clear)) / len(solid) if solid and not ascii_only else 0.0
-    items = {i for i, line in enumerate(lines) if i not in table and i not in turns and _item(line)}
+    items = {i for i, line in enumerate(lines) if i not in table and i not in turns and _item(line, sizes[i])}
     s["table_line_share"] = len(table - turns) / n if n else 0.0
     s["item_line_share"] = len(items) / n if n else 0.0
     s["turn_line_share"] = len(turns) / n if n else 0.0
-    rest = [lines[i] for i in range(n) if i not in table and i not in items]
-    s["writing_chars"] = sum(len(line) for line in rest if len(line.split()) > 4)
+    s["writing_chars"] = sum(len(line) for i, line in enumerate(lines) if sizes[i] > 4 and i not in table and i not in items)
     s["filled_table_lines"] = sum(bool(_FILLED.search(lines[i])) for i in table) / len(table) if table else 0.0
     s["table_chars"] = sum(len(lines[i]) for i in table)
     s["item_chars"] = sum(len(lines[i]) for i in items)
@@ -279,8 +360,8 @@ def shape_of(s: dict) -> str | None:
     """prose, list, table or junk; None for a text without anything but white space."""
     if not s["n_lines"]:
         return None
-    if s["word_count"] and s["distinct_word_share"] < FEW_DISTINCT:
-        copies = max(s["dup_line_share"], s["dup_paragraph_share"])
+    copies = max(s["dup_line_share"], s["dup_paragraph_share"])
+    if s["n_tokens"] >= ENOUGH and s["distinct_word_share"] < FEW_DISTINCT:
         share = s["repeated_share"]
         if s["table_line_share"] > 0.5 or s["item_line_share"] > 0.5:
             share = s["one_repeated_share"]  # rows and items of few kinds may come often
@@ -290,7 +371,11 @@ def shape_of(s: dict) -> str | None:
         return "prose"
     if s["markup_ratio"] > 0.35 or s["long_token_ratio"] > 0.4 or s["mojibake_ratio"] > 0.2:
         return "junk"
-    if s["word_count"] and s["ngram_coverage"] > 0.5 and s["distinct_word_share"] < FEW_DISTINCT:
+    if s["n_tokens"] >= ENOUGH and s["ngram_coverage"] > 0.5 and s["distinct_word_share"] < FEW_DISTINCT:
+        return "junk"
+    # boilerplate: lines or paragraphs that are mostly copies of one another, the fewer of them the less they end like sentences
+    sentences = s["end_punct_share"] > 0.1 or s["common_word_share"] > 0.1
+    if s["n_lines"] >= 4 and copies >= (0.5 if sentences else 0.35) and s["item_line_share"] <= 0.5 and s["table_line_share"] <= 0.5:
         return "junk"
     # a short list or table between paragraphs can have most of the lines, but not most of what is written
     outweighs = lambda part: s[f"{part}_line_share"] > 0.8 or s[f"{part}_chars"] >= 0.7 * s["writing_chars"]

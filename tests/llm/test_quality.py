@@ -1,9 +1,10 @@
 import base64
 import random
+import time
 
 import pytest
 
-from chatloom.llm.quality import shape_of, statistics, text_quality
+from chatloom.llm.quality import markup_length, shape_of, statistics, text_quality
 
 COMMON = set("the a and to of is in it we that for on at was not this with но и в не на".split())
 rng = random.Random(1)
@@ -77,3 +78,40 @@ def test_rows_of_few_kinds_are_a_table():
 def test_keyboard_share_is_that_of_any_text():
     assert statistics("the tree was red", COMMON)["keyboard_share"] == pytest.approx(5 / 9)
     assert statistics("It was not for us", COMMON)["keyboard_share"] == pytest.approx(1 / 8)
+
+
+BANNER = ["We use cookies to give you the best experience on our site and to show you offers.", "By clicking accept you agree to our use of cookies as set out in the policy of privacy."]
+BOILERPLATE = [
+    "\n".join(("Home | Offers | Contact us today for a quote", "All rights reserved by the owner of this site", "Subscribe to our letter for more news")[i % 3] for i in range(40)),
+    "\n\n".join(BANNER * 2), "\n".join(f"{line}" for line in ("Skip to content and menu now", "Sign in or register here please", "Share this page with your friends") * 2),
+]
+
+
+@pytest.mark.parametrize("text", BOILERPLATE)
+def test_copies_of_lines_and_paragraphs_are_boilerplate(text):
+    assert shape_of(statistics(text, COMMON)) not in ("prose", None)
+
+
+def test_a_refrain_is_no_boilerplate():
+    song = "\n\n".join(f"{verse}\n\nand the river ran on to the sea" for verse in ("We met at the mill in the snow.", "Nobody knew who had the key.", "The boat was late and it was dark."))
+    assert shape_of(statistics(song, COMMON)) == "prose"
+
+
+def test_markup_of_any_length():
+    long_tag = f'<div style="{"x" * 5000}">'
+    assert markup_length(long_tag) == len(long_tag) and markup_length(f"<!-- {long_tag} -->a") == len(long_tag) + 9
+    assert markup_length("{{" + "y" * 999 + "}} b") == 1003 and markup_length("p.a { color: red; } c") == 19 and markup_length('{"a": 1}') == 0
+    assert markup_length("a < b and c > d, x <y\n\nz> w") == 0
+
+
+@pytest.mark.parametrize("unit", ["a", "A1", "<", "<!--", "{", "{a", "a{", "[b=", " ", "\n", "\n \n", "x (", ")", "aB", "a,", "> ", "é", "ab. "])
+def test_a_megabyte_of_anything_takes_seconds(unit):
+    began = time.process_time()
+    assert statistics("x " + unit * (1_000_000 // len(unit)) + " <b x", COMMON)["n_chars"] > 900_000
+    assert time.process_time() - began < 8
+
+
+def test_short_texts_have_their_statistics():
+    s = statistics("ha ha ha ha", COMMON)
+    assert s["ngram_coverage"] == pytest.approx(1) and shape_of(s) == "prose"
+    assert statistics("- " + "x" + " " * 60 + "y", COMMON)["item_line_share"] == 1
