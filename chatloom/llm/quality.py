@@ -375,7 +375,8 @@ def shape_of(s: dict) -> str | None:
         return "junk"
     # boilerplate: lines or paragraphs that are mostly copies of one another, the fewer of them the less they end like sentences
     sentences = s["end_punct_share"] > 0.1 or s["common_word_share"] > 0.1
-    if s["n_lines"] >= 4 and copies >= (0.5 if sentences else 0.35) and s["item_line_share"] <= 0.5 and s["table_line_share"] <= 0.5:
+    copied = s["dup_paragraph_share"] >= 0.5 or s["dup_line_share"] >= (2 / 3 if sentences else 0.35)
+    if s["n_lines"] >= 4 and copied and s["item_line_share"] <= 0.5 and s["table_line_share"] <= 0.5:
         return "junk"
     # a short list or table between paragraphs can have most of the lines, but not most of what is written
     outweighs = lambda part: s[f"{part}_line_share"] > 0.8 or s[f"{part}_chars"] >= 0.7 * s["writing_chars"]

@@ -97,6 +97,12 @@ def test_a_refrain_is_no_boilerplate():
     assert shape_of(statistics(song, COMMON)) == "prose"
 
 
+def test_sentences_may_come_again():
+    again = "If it does not come in time, we borrow one from the others.\n"
+    text = again + "It is open who calls before tomorrow and says so.\n" + again * 3 + "It is open who calls before Monday and says so.\nWe met at the mill at noon.\n" + again
+    assert shape_of(statistics(text, COMMON)) == "prose"
+
+
 def test_markup_of_any_length():
     long_tag = f'<div style="{"x" * 5000}">'
     assert markup_length(long_tag) == len(long_tag) and markup_length(f"<!-- {long_tag} -->a") == len(long_tag) + 9
