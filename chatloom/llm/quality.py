@@ -374,8 +374,8 @@ def shape_of(s: dict) -> str | None:
     if s["n_tokens"] >= ENOUGH and s["ngram_coverage"] > 0.5 and s["distinct_word_share"] < FEW_DISTINCT:
         return "junk"
     # boilerplate: lines or paragraphs that are mostly copies of one another, the fewer of them the less they end like sentences
-    sentences = s["end_punct_share"] > 0.1 or s["common_word_share"] > 0.1
-    copied = s["dup_paragraph_share"] >= 0.5 or s["dup_line_share"] >= (2 / 3 if sentences else 0.35)
+    lines = 2 / 3 if s["end_punct_share"] > 0.1 else 0.5 if s["common_word_share"] > 0.1 else 0.35
+    copied = s["dup_paragraph_share"] >= 0.5 or s["dup_line_share"] >= lines
     if s["n_lines"] >= 4 and copied and s["item_line_share"] <= 0.5 and s["table_line_share"] <= 0.5:
         return "junk"
     # a short list or table between paragraphs can have most of the lines, but not most of what is written
