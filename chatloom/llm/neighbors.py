@@ -5,15 +5,20 @@ An inverted-file index (spherical k-means cells) with adaptive dimension scans:
 1. Vectors are brought to unit length, exact copies are folded into classes,
    and one random rotation spreads the distance evenly over the dimensions.
 2. Cells are packed into units of bounded size, near cells together. A vector
-   visits the units of its ``probes`` nearest cells, once per unit.
+   visits the units of its ``probes`` nearest cells, once per unit. Up to 4,096
+   cells are fitted in one place; more by a second level: each part of the space
+   that the first level makes is cut into cells by a task of its own.
 3. In a unit, the rows of a probed cell are held in column blocks. After each
    block a hypothesis test on the partial distance, scaled to all dimensions,
    abandons the rows that can't come under the visitor's threshold, the k-th
    distance within its own cell. Survivors get the remaining blocks, and the
    similarity that comes out is the full one.
 
-How many cells are probed is measured, not guessed: a sample of vectors is
-compared with all rows and the smallest count that reaches ``recall`` is used.
+How many cells are probed, and how sure the test must be, is measured, not
+guessed: for a sample of vectors their exact neighbours among all rows are
+found, and it is counted how many lie in a probed cell and pass the test. The
+settings are the cheapest whose recall is at least the one asked for, at the
+lower end of its confidence interval.
 """
 
 from __future__ import annotations
@@ -30,11 +35,13 @@ from chatloom.session import cut_lineage, parallelism
 K = 10
 DIM = 64
 BLOCK = 16  # dimensions per column block
-EPSILON = 2.1  # of the hypothesis test: about one wrong rejection in a thousand rows at the first block
+EPSILONS = (2.1, 2.5, 3.0, 3.6, 4.4, 6.0, 12.0)  # of the hypothesis test, from quick to sure
 TRAIN = 65_536  # vectors the cells are fitted on, at most (in expectation)
-TUNE = 256  # vectors the number of probes is measured on
-MOST_CELLS = 4_096
-UNIT_ROWS = 16_384
+TUNE = 512  # vectors the settings are measured on
+MOST_FLAT = 4_096  # cells that are fitted in one place
+MOST_CELLS = 65_536  # cells: their centres, 17 MB, go to every worker
+PER_CELL = 32  # sampled vectors for each cell of the second level
+LEAST_UNIT, UNIT_ROWS = 2_048, 16_384
 VISITS = 65_536  # visitors of a unit before it is given to several tasks
 SEED = 20_240_501
 
@@ -90,12 +97,17 @@ def _units(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.mapInArrow(fn, "id bigint, cls binary, vec binary")
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    step = max(1, 8_000_000 // len(centres))
+    return np.concatenate([(x[low : low + step] @ centres.T).argmax(1) for low in range(0, len(x), step)]) if len(x) else np.empty(0, np.int64)
+
+
 def _fit_cells(sample: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray:
     """Spherical k-means on the sample; an empty cell keeps its last centre."""
     rng = np.random.default_rng(SEED)
     centres = sample[rng.choice(len(sample), cells, replace=False)].copy()
     for _ in range(rounds):
-        near = np.concatenate([(part @ centres.T).argmax(1) for part in np.array_split(sample, max(1, len(sample) // 4096))])
+        near = _nearest(sample, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, sample)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -103,29 +115,62 @@ def _fit_cells(sample: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray:
     return centres
 
 
+def _fit_levels(base: DataFrame, sample: np.ndarray, n: int, cells: int, dim: int) -> np.ndarray:
+    """Centres of many cells: parts by k-means on the sample, then the cells of each part by a task that gets a sample of the part.
+
+    A part gets cells in proportion to its rows, and so many rows that there are
+    ``PER_CELL`` for each cell in expectation, at most ``TRAIN``.
+    """
+    parts = int(np.sqrt(cells))
+    tops = _fit_cells(sample, parts)
+    share = np.bincount(_nearest(sample, tops), minlength=parts) / len(sample)
+    wanted = np.maximum(1, np.round(share * cells)).astype(int)
+    rate = np.minimum(1.0, np.minimum(PER_CELL * wanted, TRAIN) / np.maximum(1.0, share * n))
+    level = base.sparkSession.sparkContext.broadcast((tops, wanted, rate))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops, _, rate = level.value
+        for batch in batches:
+            if batch.num_rows:
+                part = _nearest(_matrix(batch.column(0), dim), tops)
+                kept = batch.column(1).to_numpy() < rate[part]
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(kept)), pa.array(part[kept].astype(np.int32))], names=["vec", "part"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        rows = _matrix(table.column("vec"), dim)
+        part = table.column("part")[0].as_py()
+        return pa.table({"vec": _packed(_fit_cells(rows, min(len(rows), int(level.value[1][part]))))})
+
+    draws = F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = base.select("vec", draws.alias("u")).mapInArrow(draw, "vec binary, part int")
+    return _matrix(drawn.groupBy("part").applyInArrow(fit, "vec binary").toArrow().column("vec"), dim)
+
+
 def _pack(centres: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Cells into units of at most ``most`` rows: per cell the first unit and the number of shards.
+    """Cells into units of about ``most`` rows: per cell the first unit and the number of shards.
 
-    Halves the cells along the direction of largest spread until each part fits.
-    A cell that alone is larger is cut into shards, each a unit.
+    Cells are grouped by k-means over their centres, groups that are too large
+    again, so that the cells a vector probes lie in few units. A cell that alone
+    is larger is cut into shards, each a unit.
     """
     first, shards = np.zeros(len(counts), dtype=np.int32), np.ones(len(counts), dtype=np.int32)
     unit = 0
     todo = [np.arange(len(counts))]
     while todo:
         part = todo.pop()
-        if counts[part].sum() <= most or len(part) == 1:
+        total = counts[part].sum()
+        if total <= most or len(part) == 1:
             first[part] = unit
             if len(part) == 1:
-                shards[part] = max(1, -(-int(counts[part[0]]) // most))
+                shards[part] = max(1, -(-int(total) // most))
             unit += int(shards[part[0]]) if len(part) == 1 else 1
             continue
-        x = centres[part] - centres[part].mean(0)
-        along = x @ np.linalg.svd(x, full_matrices=False)[2][0]
-        order = part[np.argsort(along, kind="stable")]
-        weight = np.cumsum(counts[order])
-        cut = int(np.clip(np.searchsorted(weight, weight[-1] / 2), 1, len(order) - 1))
-        todo += [order[cut:], order[:cut]]
+        groups = int(min(64, len(part), max(2, round(1.5 * total / most))))
+        near = _nearest(centres[part], _fit_cells(centres[part], groups, 12))
+        cut = [part[near == g] for g in range(groups) if (near == g).any()]
+        if len(cut) == 1:  # centres that are all alike
+            cut = [part[: len(part) // 2], part[len(part) // 2 :]]
+        todo += reversed(cut)
     return first, shards, unit
 
 
@@ -140,7 +185,12 @@ def _top(owner: np.ndarray, sim: np.ndarray, ids: np.ndarray, k: int) -> np.ndar
     return order[rank < k]
 
 
-def scan(q: np.ndarray, q2: np.ndarray, x: np.ndarray, x2: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _allowed(end: int, dim: int, epsilon: float) -> float:
+    """The share of a squared distance that ``end`` dimensions may hold before a row is abandoned."""
+    return end / dim * (1 + epsilon / np.sqrt(end)) ** 2
+
+
+def scan(q: np.ndarray, q2: np.ndarray, x: np.ndarray, x2: np.ndarray, bound: np.ndarray, epsilon: float = EPSILONS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (query, row, similarity) with squared distance <= bound[query], by column blocks.
 
     q2 and x2 hold the squared norms of the leading d dimensions for each block
@@ -152,7 +202,7 @@ def scan(q: np.ndarray, q2: np.ndarray, x: np.ndarray, x2: np.ndarray, bound: np
     for step, end in enumerate(range(BLOCK, dim, BLOCK)):
         dots += q[:, done:end] @ x[:, done:end].T
         done = end
-        limit = bound * (end / dim) * (1 + EPSILON / np.sqrt(end)) ** 2
+        limit = bound * _allowed(end, dim, epsilon)
         alive = dots >= ((q2[:, step] - limit)[:, None] + x2[:, step][None, :]) * 0.5
         if alive.mean() < 0.2:
             a, b = alive.nonzero()
@@ -162,7 +212,7 @@ def scan(q: np.ndarray, q2: np.ndarray, x: np.ndarray, x2: np.ndarray, bound: np
                 part = part + np.einsum("ij,ij->i", q[a, begin:stop], x[b, begin:stop])
                 if stop < dim:
                     at = stop // BLOCK - 1
-                    limit = bound[a] * (stop / dim) * (1 + EPSILON / np.sqrt(stop)) ** 2
+                    limit = bound[a] * _allowed(stop, dim, epsilon)
                     keep = q2[a, at] + x2[b, at] - 2 * part <= limit
                     a, b, part = a[keep], b[keep], part[keep]
             keep = 2 - 2 * part <= bound[a]
@@ -205,53 +255,113 @@ def _exact_top(rows: DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: i
     return best.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
+def _tune(base: DataFrame, queries: np.ndarray, query_ids: np.ndarray, centres: np.ndarray, k: int, dim: int, recall: float) -> tuple[int, float]:
+    """How many cells to probe, and the epsilon of the test.
+
+    In one pass over all rows each task keeps, for each sampled query, its k best
+    rows with their cell and partial distances, and the k best of the query's own
+    cell, which give its threshold.
+    """
+    ends = list(range(BLOCK, dim, BLOCK))
+    share = base.sparkSession.sparkContext.broadcast((queries, query_ids, centres, _nearest(queries, centres)))
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, qid, c, own = share.value
+        held = {kind: (np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, len(ends)), np.float32)) for kind in (0, 1)}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                piece = batch.slice(start, 4096)
+                x, xid = _matrix(piece.column(1), dim), piece.column(0).to_numpy()
+                cell = _nearest(x, c)
+                s = q @ x.T
+                s[qid[:, None] == xid[None, :]] = -2
+                for kind in (0, 1):
+                    t = s if not kind else np.where(own[:, None] == cell[None, :], s, -2)
+                    m = min(k, t.shape[1])
+                    best = np.argpartition(-t, m - 1, axis=1)[:, :m]
+                    owner, row = np.repeat(np.arange(len(q)), m), best.ravel()
+                    sim = t[owner, row]
+                    good = sim > -2
+                    owner, row, sim = owner[good], row[good], sim[good]
+                    partial = np.stack([np.square(q[owner, :e] - x[row, :e]).sum(1) for e in ends], axis=1) if ends else np.empty((len(row), 0), np.float32)
+                    both = [np.concatenate(pair) for pair in zip(held[kind], (owner, sim, xid[row], cell[row], partial))]
+                    keep = _top(both[0], both[1], both[2], k)
+                    held[kind] = tuple(v[keep] for v in both)
+        for kind, (owner, sim, ids, cell, partial) in held.items():
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1, dtype=np.int32) * len(ends)), pa.array(partial.astype(np.float32).ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(owner), kind, np.int32)), pa.array(owner), pa.array(ids), pa.array(sim.astype(np.float32)), pa.array(cell.astype(np.int32)), lists],
+                names=["kind", "q", "id", "sim", "cell", "partial"],
+            )
+
+    found = base.select("id", "vec").mapInArrow(fn, "kind int, q bigint, id bigint, sim float, cell int, partial array<float>")
+    rank = F.row_number().over(Window.partitionBy("kind", "q").orderBy(F.desc("sim"), "id"))
+    best = found.withColumn("r", rank).where(F.col("r") <= k).select("kind", "q", "sim", "cell", "partial").toPandas()  # 2 * TUNE * k rows at most
+    order = np.argsort(-(queries @ centres.T), axis=1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(centres))[None, :], 1)
+    own = best[best["kind"] == 1].groupby("q")["sim"].agg(["count", "min"])
+    bound = np.full(len(queries), 4.0)
+    full = own[own["count"] >= k]
+    bound[full.index.to_numpy()] = 2 - 2 * full["min"].to_numpy() + 1e-5
+    true = best[best["kind"] == 0]
+    q = true["q"].to_numpy()
+    depth = place[q, true["cell"].to_numpy()]
+    partial = np.stack(true["partial"].to_numpy()) if len(true) and ends else np.empty((len(true), 0))
+    size = np.maximum(np.bincount(q, minlength=len(queries)), 1)
+
+    def least(hit: np.ndarray) -> float:
+        """The lower end of the recall's confidence interval, over the queries."""
+        each = np.bincount(q, weights=hit, minlength=len(queries)) / size
+        return each.mean() - 1.64 * each.std() / np.sqrt(len(each))
+
+    goal = min(recall, 1.0)
+    for epsilon in EPSILONS:
+        passes = (partial <= bound[q, None] * np.array([_allowed(e, dim, epsilon) for e in ends])[None, :]).all(1)
+        if least(passes) >= goal + 0.7 * (1 - goal) or epsilon == EPSILONS[-1]:
+            break
+    low, high = min(8, len(centres)), len(centres)
+    while low < high:
+        middle = (low + high) // 2
+        if least(passes & (depth < middle)) >= goal:
+            high = middle
+        else:
+            low = middle + 1
+    return low, epsilon
+
+
 def similar_classes(base: DataFrame, k: int = K, dim: int = DIM, recall: float = 0.95) -> DataFrame:
     """(id, other, sim): the k nearest other rows of each row of ``base`` (id, vec: packed, rotated, distinct)."""
     spark = base.sparkSession
     n = base.count()
     if n < 2:
         return spark.createDataFrame([], "id bigint, other bigint, sim float")
-    cells = int(min(MOST_CELLS, max(1, round(4 * np.sqrt(n)) if n > 2_000 else n // 50)))
+    cells = int(max(1, min(MOST_CELLS, 4 * np.sqrt(n), n / 25)))
     sampled = base if n <= TRAIN else base.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(n)) < TRAIN)
     drawn = sampled.select("id", "vec").toArrow()
     sample, sample_ids = _matrix(drawn.column("vec"), dim), drawn.column("id").to_numpy()
-    cells = max(1, min(cells, len(sample)))
-    centres = _fit_cells(sample, cells)
-    centred = spark.sparkContext.broadcast(centres)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column(1), dim)
-                near = np.concatenate([(part @ centred.value.T).argmax(1) for part in np.array_split(x, max(1, len(x) // 2048))])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=["id", "vec", "cell"])
-
-    rows = cut_lineage(base.select("id", "vec").mapInArrow(assign, "id bigint, vec binary, cell int"))
-    counts = np.zeros(cells, dtype=np.int64)
-    for r in rows.groupBy("cell").count().collect():  # at most MOST_CELLS rows
-        counts[r["cell"]] = r["count"]
-
-    # how far down the list of cells do the true neighbours of a sample lie?
+    centres = _fit_cells(sample, min(cells, len(sample))) if cells <= MOST_FLAT else _fit_levels(base, sample, n, cells, dim)
+    cells = len(centres)
     pick = np.argsort(np.random.default_rng(SEED).random(len(sample)))[:TUNE]
-    truth = _exact_top(rows, sample[pick], sample_ids[pick], k, dim).join(rows.select("id", "cell"), "id").select("q", "cell").toPandas()
-    order = np.argsort(-(sample[pick] @ centres.T), axis=1)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(cells)[None, :], 1)
-    depth = np.sort(rank[truth["q"].to_numpy(), truth["cell"].to_numpy()])
-    probes = int(min(cells, max(8, depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))) - 1)] + 1)))
+    probes, epsilon = _tune(base, sample[pick], sample_ids[pick], centres, k, dim, recall)
+    counts = np.bincount(_nearest(sample, centres), minlength=cells) * (n / len(sample))
+    centred = spark.sparkContext.broadcast(centres)
 
     tasks = parallelism(spark)
-    first, shards, units = _pack(centres, counts, max(2_048, min(UNIT_ROWS, n // (2 * tasks))))
+    first, shards, units = _pack(centres, counts, max(LEAST_UNIT, min(UNIT_ROWS, n // tasks)))
     plan = spark.sparkContext.broadcast((first, shards))
     spread = min(units, 4 * tasks)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, many = plan.value
         for batch in batches:
-            ids, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((begin[cell] + ids % many[cell]).astype(np.int32))], names=["id", "vec", "cell", "unit"])
+            if batch.num_rows:
+                ids, cell = batch.column(0).to_numpy(), _nearest(_matrix(batch.column(1), dim), centred.value)
+                unit = begin[cell] + ids % many[cell]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(unit.astype(np.int32))], names=["id", "vec", "cell", "unit"])
 
-    placed = rows.mapInArrow(place, "id bigint, vec binary, cell int, unit int")
+    placed = base.select("id", "vec").mapInArrow(place, "id bigint, vec binary, cell int, unit int")
+    placed = cut_lineage(placed.repartition(spread, "unit").sortWithinPartitions("unit", "cell"))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Thresholds within a row's own cell and shard; one visit per unit that holds a probed cell."""
@@ -317,10 +427,10 @@ def similar_classes(base: DataFrame, k: int = K, dim: int = DIM, recall: float =
         if held:
             yield from flush()
 
-    by_unit = placed.repartition(spread, "unit").sortWithinPartitions("unit", "cell").select("id", "vec", "cell")
-    visiting = cut_lineage(by_unit.mapInArrow(visits, "unit int, id bigint, vec binary, bound float, cells array<int>"))
+    visiting = cut_lineage(placed.select("id", "vec", "cell").mapInArrow(visits, "unit int, id bigint, vec binary, bound float, cells array<int>"))
     busy = visiting.groupBy("unit").count().collect()  # a row per unit: n / UNIT_ROWS at the least fill
-    copies = [(r["unit"], -(-r["count"] // VISITS)) for r in busy]
+    most = max(LEAST_UNIT, min(VISITS, sum(r["count"] for r in busy) // (2 * tasks)))
+    copies = [(r["unit"], -(-r["count"] // most)) for r in busy]
     tasks_of = spark.createDataFrame(copies, "unit int, copies int")
 
     residents = placed.join(F.broadcast(tasks_of), "unit").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
@@ -350,7 +460,7 @@ def similar_classes(base: DataFrame, k: int = K, dim: int = DIM, recall: float =
                 if a == b:
                     continue
                 mine = who[low:high]
-                i, j, s = scan(q[mine], q2[mine], x[a:b], x2[a:b], bound[mine])
+                i, j, s = scan(q[mine], q2[mine], x[a:b], x2[a:b], bound[mine], epsilon)
                 owner.append(mine[i])
                 sims.append(s)
                 ids.append(xid[a + j])

@@ -73,14 +73,43 @@ def test_large_cells_are_cut():
     counts = np.array([10, 50_000, 3, 7])
     first, shards, units = N._pack(np.eye(4, 64, dtype=np.float32), counts, 16_384)
     assert shards[1] == 4 and units == first.max() + (shards[first.argmax()] if first.argmax() == 1 else 1)
+    assert N._pack(np.ones((6, 64), dtype=np.float32), np.full(6, 100), 250)[2] >= 3
+
+
+def random_recall(spark, n, k=10):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((n, 64)).astype(np.float32)
+    got = N.most_similar(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])).toPandas()
+    _, best = exact(x.astype(np.float64), k)
+    found = set(zip(got["id"], got["other"]))
+    return np.mean([(i, j) in found for i in range(n) for j in best[i]])
 
 
 @pytest.mark.parametrize("most", [20, 64])
 def test_sharded_units_find_the_same(spark, monkeypatch, most):
     monkeypatch.setattr(N, "UNIT_ROWS", most)
-    rng = np.random.default_rng(8)
-    x = rng.standard_normal((400, 64)).astype(np.float32)
-    got = N.most_similar(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])).toPandas()
+    monkeypatch.setattr(N, "LEAST_UNIT", most)
+    assert random_recall(spark, 400) >= 0.9
+
+
+def test_a_second_level_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "MOST_FLAT", 16)
+    fitted = []
+    levels = N._fit_levels
+    monkeypatch.setattr(N, "_fit_levels", lambda *a: fitted.append(levels(*a)) or fitted[-1])
+    assert random_recall(spark, 1500) >= 0.9
+    assert 40 <= len(fitted[0]) <= 80 and np.allclose(np.linalg.norm(fitted[0], axis=1), 1, atol=1e-4)
+
+
+def test_the_recall_asked_for_is_reached(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1200, 64)).astype(np.float32)
+    rows = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
     _, best = exact(x.astype(np.float64), 10)
-    found = set(zip(got["id"], got["other"]))
-    assert np.mean([(i, j) in found for i in range(400) for j in best[i]]) >= 0.85
+    reached = []
+    for recall in (0.7, 0.99):
+        got = N.most_similar(rows, recall=recall).toPandas()
+        found = set(zip(got["id"], got["other"]))
+        reached.append(np.mean([(i, j) in found for i in range(1200) for j in best[i]]))
+        assert reached[-1] >= recall
+    assert reached[0] < reached[1]
