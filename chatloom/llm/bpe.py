@@ -128,6 +128,8 @@ class Encoder:
             begin = end - size
             if begin == 0 or (last[begin] >= 0 and compatible(last[begin], token)):
                 last[end], start[end] = token, begin
+        if last[n] < 0:
+            raise ValueError("the vocabulary has no token for some byte of the text")
         out = []
         at = n
         while at > 0:

@@ -1,7 +1,8 @@
 """Conversations rebuilt from a log of message deliveries.
 
-The rows are an event log: creates, edits and retries of a message are folded by
-version (the delivery's ``id``) into its final turn. Turns are hung under the
+The rows are an event log: creates, edits, retries and deletes (deliveries with a
+null text) of a message are folded by version (the delivery's ``id``) into its
+final turn; a message whose last version is a delete is gone. Turns are hung under the
 opening message they lead to by pointer doubling over ``reply_to``: each round
 doubles the number of replies that are skipped, so a chain of n replies takes
 log2(n) rounds, and a round without a newly found root proves that what is left
@@ -10,6 +11,8 @@ runs in circles or leads to a missing message.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +25,14 @@ NOT_BLANK = "[^\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}
 
 
 def final_turns(messages: DataFrame) -> DataFrame:
-    """chat_id, msg_id, ts, reply_to, sender_id, blank, deliveries: the current row of each message.
+    """chat_id, msg_id, ts, reply_to, sender_id, blank: the current row of each message that isn't deleted.
 
-    A null text is blank. Rows without chat_id or msg_id are left out.
+    A null text is a delete, which a later version undoes. Rows without chat_id
+    or msg_id are left out.
     """
-    flagged = messages.select("id", "chat_id", "msg_id", "ts", "reply_to", "sender_id", (~F.coalesce(F.col("text").rlike(NOT_BLANK), F.lit(False))).alias("blank"))
-    return current_messages(flagged, "ts", "reply_to", "sender_id", "blank")
+    blank = ~F.col("text").rlike(NOT_BLANK)  # null for a delete
+    flagged = messages.select("id", "chat_id", "msg_id", "ts", "reply_to", "sender_id", blank.alias("blank"))
+    return current_messages(flagged, "ts", "reply_to", "sender_id", "blank").where("blank is not null")
 
 
 def roots_of(turns: DataFrame) -> DataFrame:
@@ -42,19 +47,23 @@ def roots_of(turns: DataFrame) -> DataFrame:
     state = cut_lineage(
         replies.select("chat_id", "msg_id", F.col("reply_to").alias("at"), "done", F.coalesce(F.col("ts") < F.col("parent_ts"), F.lit(False)).alias("early"))
     )
-    found = state.where("done")
-    waiting, left = state, state.where("not done").count()
+    done, pending = state.where("done"), state.where("not done")
+    resolved, left = [done], pending.count()
     while left:
-        step = waiting.select("chat_id", F.col("msg_id").alias("at"), F.col("at").alias("next"), F.col("done").alias("next_done"))
-        moved = waiting.where("not done").join(step, ["chat_id", "at"]).select("chat_id", "msg_id", F.col("next").alias("at"), F.col("next_done").alias("done"), "early")
-        # those that have found their root stay for one more round, for others to step on
-        waiting = cut_lineage(moved.unionByName(waiting.where("done")))
-        still = waiting.where("not done").count()
+        # whoever will step on a reply that has found its root stands before it by now; the others need not come along
+        needed = pending.select("chat_id", F.col("at").alias("msg_id")).distinct()
+        done = cut_lineage(done.join(needed, ["chat_id", "msg_id"], "left_semi"))
+        step = done.unionByName(pending).select("chat_id", F.col("msg_id").alias("at"), F.col("at").alias("next"), F.col("done").alias("next_done"))
+        moved = cut_lineage(pending.join(step, ["chat_id", "at"]).select("chat_id", "msg_id", F.col("next").alias("at"), F.col("next_done").alias("done"), "early"))
+        found, pending = moved.where("done"), moved.where("not done")
+        resolved.append(found)
+        done = done.unionByName(found)
+        still = pending.count()
         if still == left:
             break
         left = still
-    resolved = waiting.where("done") if waiting is not state else found
-    return resolved.select("chat_id", "msg_id", F.col("at").alias("root_msg"), "early")
+    every = reduce(DataFrame.unionByName, resolved)
+    return every.select("chat_id", "msg_id", F.col("at").alias("root_msg"), "early")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
@@ -70,7 +79,8 @@ def conversations(messages: DataFrame) -> DataFrame:
 
     Rows with a null chat_id, msg_id or ts can't be ordered and are left out
     before anything else, so what answers them leads nowhere. Repeated
-    deliveries count once, by the highest ``id``. An empty table gives no row;
+    deliveries count once, by the highest ``id``; if that one's text is null, the
+    message is deleted, and what answers it leads nowhere. An empty table gives no row;
     further columns are ignored.
     """
     turns = cut_lineage(final_turns(messages).where("ts is not null"))

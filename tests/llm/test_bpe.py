@@ -57,3 +57,11 @@ def test_tables(spark, both):
     counts = bpe.count_tokens(df.drop("ids")).collect()
     assert sorted(r.n_tokens for r in counts) == [0, 0, 1, 2, 2] and "text" not in counts[0].asDict()
     assert bpe.encode_texts(df.where("false")).collect() == []
+
+
+def test_a_vocabulary_without_a_byte_is_refused():
+    from chatloom.llm.bpe import Encoder
+
+    with pytest.raises(ValueError):
+        Encoder({b"a": 0, b"b": 1}).encode("abc")
+    assert Encoder({b"a": 0, b"b": 1, b"ab": 2}).encode("abab") == [2, 2]

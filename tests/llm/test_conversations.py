@@ -11,7 +11,7 @@ def brute(rows):
         i, chat, msg, *_ = r
         if chat is not None and msg is not None and ((chat, msg) not in cur or cur[chat, msg][0] < i):
             cur[chat, msg] = r
-    cur = {k: v for k, v in cur.items() if v[6] is not None}
+    cur = {k: v for k, v in cur.items() if v[6] is not None and v[7] is not None}
     blank = lambda r: not (r[7] or "").strip()
     members, early = {}, set()
     for (chat, msg), r in cur.items():
@@ -71,3 +71,13 @@ def test_empty_and_nulls(messages_of):
     assert conversations(messages_of([])).collect() == []
     rows = [(1, None, 1, None, 1, "s", 0, "x"), (2, 1, None, None, 1, "s", 0, "x"), (3, 1, 1, None, 1, "s", None, "x"), (4, 1, 2, 1, 2, "s", 1, "x"), (None, 1, 5, None, None, None, 1, None)]
     assert conversations(messages_of(rows)).collect() == []
+
+
+def test_deletes_are_folded_by_version(messages_of):
+    rows = [
+        (1, 1, 1, None, 1, "s", 1, "q"), (2, 1, 2, 1, 2, "s", 2, "a"), (3, 1, 3, 2, 1, "s", 3, "more"), (4, 1, 2, 1, 2, "s", 2, None),  # the answer is deleted: nothing is left
+        (5, 2, 1, None, 1, "s", 1, None), (6, 2, 1, None, 1, "s", 1, "back"), (7, 2, 2, 1, 2, "s", 2, "a"),  # a delete is undone by a later version
+        (9, 3, 1, None, 1, "s", 1, "q"), (10, 3, 2, 1, 2, "s", 2, "a"), (8, 3, 2, 1, 2, "s", 2, None),  # a delete that arrives late is an older version
+    ]
+    got = of(conversations(messages_of(rows)))
+    assert got == brute(rows) == {(2, 1, 1, 1), (2, 1, 2, 2), (3, 1, 1, 1), (3, 1, 2, 2)}
