@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions.parsing import document_terms, query_tokens, words_in_order
+from chatloom.session import cut_lineage
 
 K1, B = 1.2, 0.75
 TOP_K, RRF_K = 10, 20
@@ -23,6 +24,9 @@ COMMON = 0.25  # a term in more than this share of the messages is dropped
 OVERFETCH = 20
 BLOCK = 65_536  # question vectors sent to the executors at a time
 SLICE = 512  # of them compared with a batch at a time
+HELD = 4_000_000  # hits that a task holds for the questions of a block
+FEW_TOKENS = 200_000  # asked tokens that are sent to every worker; more are joined
+CHUNK_ROWS = 1_000_000  # postings of whole documents that are searched at a time
 
 
 # ---------------------------------------------------------------- term index
@@ -67,12 +71,17 @@ def phrase_matches(phrases: DataFrame, index: DataFrame) -> DataFrame:
     """(token, chat_id, msg_id, f, length): the documents that hold each distinct token, and how often.
 
     A token of one term reads the postings; one of several needs its terms at
-    consecutive positions.
+    consecutive positions. Up to ``FEW_TOKENS`` tokens are sent to the postings;
+    more are joined to them by term.
     """
-    distinct = phrases.select("token", "phrase", "size").distinct()
-    one = distinct.where("size = 1").select("token", F.col("phrase")[0].alias("term")).join(index, "term").select("token", "chat_id", "msg_id", F.col("tf").alias("f"), "length")
+    distinct = cut_lineage(phrases.select("token", "phrase", "size").distinct())
+    sizes = {r["size"]: r["n"] for r in distinct.groupBy((F.col("size") > 1).alias("size")).agg(F.count("*").alias("n")).collect()}
+    hint = F.broadcast if sum(sizes.values()) <= FEW_TOKENS else lambda df: df
+    one = index.join(hint(distinct.where("size = 1").select("token", F.col("phrase")[0].alias("term"))), "term").select("token", "chat_id", "msg_id", F.col("tf").alias("f"), "length")
+    if not sizes.get(True):
+        return one
     parts = distinct.where("size > 1").select("token", "size", F.posexplode("phrase").alias("offset", "term"))
-    at = parts.join(index, "term").select("token", "size", "offset", "chat_id", "msg_id", "length", F.explode("positions").alias("pos"))
+    at = index.join(hint(parts), "term").select("token", "size", "offset", "chat_id", "msg_id", "length", F.explode("positions").alias("pos"))
     begun = at.groupBy("token", "size", "chat_id", "msg_id", "length", (F.col("pos") - F.col("offset")).alias("begin")).agg(F.countDistinct("offset").alias("met"))
     many = begun.where("met = size").groupBy("token", "chat_id", "msg_id", "length").agg(F.count("*").alias("f"))
     return one.unionByName(many.select(*one.columns))
@@ -107,6 +116,149 @@ def bm25(questions: DataFrame, messages: DataFrame, index: DataFrame | None = No
     return hits.groupBy("qid", "chat_id", "msg_id").agg(F.sum(F.col("weight") * saturated).alias("score"))
 
 
+def bm25_top(
+    questions: DataFrame, messages: DataFrame, limit: int, index: DataFrame | None = None, chats: str | None = None, digits: int = 9, size: DataFrame | None = None,
+) -> DataFrame:
+    """(qid, chat_id, msg_id, score, rank): the ``limit`` best messages of each question by BM25, exact.
+
+    The order is that of the score rounded to ``digits``, then chat_id, msg_id.
+    Other than ``bm25`` this pairs no question with all messages that share a
+    token: the postings of the asked tokens are laid out by message, and each
+    task keeps the best hits of each question over its own messages. Per chunk of
+    messages, what a token can add at most tells which tokens a new hit must have
+    (MaxScore); the common ones are only looked up for candidates, and a question
+    that can't gain from a chunk passes it by. Questions go to the tasks in
+    blocks whose hits fit in memory; a token that a quarter of all messages hold
+    is spread with them. ``size``: the row of ``corpus_size``, if it is kept.
+    """
+    spark = messages.sparkSession
+    index = postings(messages) if index is None else index
+    phrases = cut_lineage(question_phrases(questions))
+    # by message: of postings that lie so already, as after an upsert, nothing is moved
+    matches = cut_lineage(
+        phrase_matches(phrases, index).groupBy("chat_id", "msg_id").agg(F.max("length").alias("length"), F.collect_list("token").alias("tokens"), F.collect_list("f").alias("f"))
+    )
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("times") * F.when(idf > 0, idf).otherwise(1e-6)
+    terms = informative(phrases, matches.select(F.explode("tokens").alias("token")), corpus_size(messages) if size is None else size).where("df > 0").select("qid", "token", weight.alias("weight"), "avg_length")
+    if chats:
+        terms = terms.join(questions.select("qid", F.col(chats).alias("chats")), "qid")
+    terms = cut_lineage(terms)
+    asked = terms.select("qid").distinct().count()
+    per_block = int(max(256, min(BLOCK, HELD // limit)))
+    blocks = max(1, -(-asked // per_block))
+    result = spark.createDataFrame([], "qid bigint, chat_id bigint, msg_id bigint, score double")
+    for b in range(blocks):
+        rows = terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid", "token").toArrow()
+        if rows.num_rows:
+            result = result.unionByName(matches.mapInArrow(_block_search(spark, rows, limit, digits), "qid bigint, chat_id bigint, msg_id bigint, score double"))
+    return top(result, "qid", [F.desc("score"), F.col("chat_id"), F.col("msg_id")], limit)
+
+
+def _block_search(spark, rows: pa.Table, limit: int, digits: int):
+    """The search of one block of questions over a task's messages, for ``mapInArrow``."""
+    token = rows.column("token").combine_chunks().dictionary_encode()
+    qid = rows.column("qid").to_numpy()
+    starts = np.append(np.concatenate([[0], (qid[1:] != qid[:-1]).nonzero()[0] + 1]), len(qid)).astype(np.int64)
+    allowed = None
+    if "chats" in rows.column_names:
+        allowed = [None if c is None else np.array([x for x in c if x is not None], dtype=np.int64) for c in rows.column("chats").take(pa.array(starts[:-1])).to_pylist()]
+    share = spark.sparkContext.broadcast(
+        (token.dictionary.to_pylist(), token.indices.to_numpy(), rows.column("weight").to_numpy(), qid[starts[:-1]], starts, float(rows.column("avg_length")[0].as_py() or 1.0), allowed)
+    )
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        words, asked, weights, qids, starts, average, allowed = share.value
+        words = pa.array(words, pa.string())
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * len(qids)
+        margin = 10.0**-digits
+
+        def search(tok: np.ndarray, chat: np.ndarray, msg: np.ndarray, f: np.ndarray, length: np.ndarray) -> None:
+            fresh = np.concatenate([[True], (chat[1:] != chat[:-1]) | (msg[1:] != msg[:-1])])
+            doc_chat, doc_msg = chat[fresh], msg[fresh]
+            gain = f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
+            by = np.argsort(tok, kind="stable")
+            doc, gain = (np.cumsum(fresh) - 1)[by], gain[by]
+            edge = np.searchsorted(tok[by], np.arange(len(words) + 1))
+            held = edge[1:] > edge[:-1]
+            most = np.zeros(len(words))
+            most[held] = np.maximum.reduceat(gain, edge[:-1][held])
+            for i in range(len(qids)):
+                mine = asked[starts[i] : starts[i + 1]]
+                here = held[mine]
+                if not here.any():
+                    continue
+                mine, w = mine[here], weights[starts[i] : starts[i + 1]][here]
+                past = best[i]
+                floor = past[0][-1] - margin if past is not None and len(past[0]) == limit else -np.inf
+                bound = w * most[mine]
+                order = np.argsort(-bound, kind="stable")
+                mine, w, bound = mine[order], w[order], bound[order]
+                rest = np.concatenate([np.cumsum(bound[::-1])[::-1], [0.0]])  # what the tokens from here on can add
+                if rest[0] < floor:
+                    continue
+                ok = None
+                if allowed is not None and allowed[i] is not None:
+                    ok = np.isin(doc_chat, allowed[i])
+                    if not ok.any():
+                        continue
+                needed = int((rest[:-1] >= floor).sum())  # a hit has one of these
+                parts = [slice(edge[t], edge[t + 1]) for t in mine]
+                docs = np.concatenate([doc[p] for p in parts[:needed]])
+                scores = np.concatenate([x * gain[p] for x, p in zip(w, parts[:needed])])
+                if ok is not None:
+                    docs, scores = docs[ok[docs]], scores[ok[docs]]
+                if not len(docs):
+                    continue
+                if needed > 1:
+                    docs, where = np.unique(docs, return_inverse=True)
+                    scores = np.bincount(where, weights=scores)
+                for j in range(needed, len(mine)):
+                    keep = scores + rest[j] >= floor
+                    docs, scores = docs[keep], scores[keep]
+                    other = doc[parts[j]]
+                    at = np.minimum(np.searchsorted(other, docs), len(other) - 1)
+                    scores = scores + np.where(other[at] == docs, w[j] * gain[parts[j]][at], 0.0)
+                scores = np.round(scores, digits)
+                if len(scores) > limit:
+                    keep = scores >= -np.partition(-scores, limit - 1)[limit - 1]
+                    docs, scores = docs[keep], scores[keep]
+                new = (scores, doc_chat[docs], doc_msg[docs])
+                both = new if past is None else tuple(np.concatenate(pair) for pair in zip(past, new))
+                first = np.lexsort((both[2], both[1], -both[0]))[:limit]
+                best[i] = tuple(v[first] for v in both)
+
+        pending: list[tuple[np.ndarray, ...]] = []
+        total = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(3)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            tok = pc.index_in(lists.flatten(), value_set=words)
+            keep = pc.is_valid(tok).to_numpy(zero_copy_only=False)
+            row = row[keep]
+            chat, msg, length = (batch.column(j).to_numpy()[row] for j in range(3))
+            pending.append((tok.to_numpy(zero_copy_only=False)[keep].astype(np.int64), chat, msg, batch.column(4).flatten().to_numpy()[keep], length))
+            total += len(row)
+            if total >= CHUNK_ROWS:
+                search(*(np.concatenate(c) for c in zip(*pending)))
+                pending, total = [], 0
+        if total:
+            search(*(np.concatenate(c) for c in zip(*pending)))
+        for low in range(0, len(qids), 4096):
+            part = [(q, b) for q, b in zip(qids[low : low + 4096], best[low : low + 4096]) if b is not None]
+            if part:
+                owner = np.concatenate([np.full(len(b[0]), q, dtype=np.int64) for q, b in part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(owner), *(pa.array(np.concatenate([b[j] for _, b in part])) for j in (1, 2, 0))], names=["qid", "chat_id", "msg_id", "score"]
+                )
+
+    return fn
+
+
 def top(df: DataFrame, key: str, order: list[Column], limit: int, name: str = "rank") -> DataFrame:
     """The first ``limit`` rows of each key, numbered from 1; the limit is applied before the shuffle as well."""
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
@@ -114,14 +266,23 @@ def top(df: DataFrame, key: str, order: list[Column], limit: int, name: str = "r
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, point: str, low: str, high: str, width: int = 64) -> DataFrame:
-    """Points within [low, high] of an interval of equal ``key``, by an equi-join on buckets of ``width``.
+    """Points within [low, high] of an interval of equal ``key``, by an equi-join on buckets.
 
     An interval is sent to each bucket it touches, so a busy key is spread over
-    its buckets instead of being compared with all of its intervals.
+    its buckets instead of being compared with all of its intervals. Buckets come
+    in sizes of width, width * 64, and so on: an interval takes the size at which
+    it touches 65 at most, however wide it is, and a point looks in one bucket of
+    each size that is in use, a few at most.
     """
-    spread = intervals.where(F.col(low) <= F.col(high)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    placed = points.withColumn("__b", F.floor(F.col(point) / width))
-    return placed.join(spread, [key, "__b"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__b")
+    span = F.greatest(F.col(high) - F.col(low), F.lit(0)).cast("double") / (width * 64)
+    level = F.when(span < 1, 0).otherwise(F.floor(F.log(64.0, F.greatest(span, F.lit(1.0)))) + 1).cast("int")
+    sized = intervals.where(F.col(low) <= F.col(high)).withColumn("__l", level).withColumn("__w", F.expr(f"{width} * shiftleft(1L, __l * 6)"))
+    levels = sorted(r["__l"] for r in sized.select("__l").distinct().collect())  # eleven at most
+    bucket = lambda c: F.floor(F.col(c) / F.col("__w"))
+    spread = sized.withColumn("__b", F.explode(F.sequence(bucket(low), bucket(high)))).drop("__w")
+    placed = points.withColumn("__l", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")))
+    placed = placed.withColumn("__w", F.expr(f"{width} * shiftleft(1L, __l * 6)")).withColumn("__b", bucket(point)).drop("__w")
+    return placed.join(spread, [key, "__l", "__b"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__b", "__l")
 
 
 def windows_of_messages(ranked: DataFrame, windows: DataFrame) -> DataFrame:
@@ -130,13 +291,12 @@ def windows_of_messages(ranked: DataFrame, windows: DataFrame) -> DataFrame:
     return interval_join(ranked, spans, "chat_id", "msg_id", "first_msg", "last_msg").groupBy("qid", "window_id").agg(F.min("rank").alias("rank"))
 
 
-def keyword_arm(questions: DataFrame, messages: DataFrame, windows: DataFrame, pool: int, index: DataFrame | None = None, ranges: DataFrame | None = None, chats: str | None = None) -> DataFrame:
+def keyword_arm(questions: DataFrame, messages: DataFrame, windows: DataFrame, pool: int, index: DataFrame | None = None, ranges: DataFrame | None = None, chats: str | None = None, size: DataFrame | None = None) -> DataFrame:
     """(qid, window_id, rank): the ``pool`` best windows of each question by their best message.
 
     ``ranges`` (qid, start, end) limits the windows, after the cut of messages.
     """
-    scores = bm25(questions, messages, index, chats)
-    cut = top(scores.withColumn("score", F.round("score", 9)), "qid", [F.desc("score"), F.col("chat_id"), F.col("msg_id")], pool * OVERFETCH)
+    cut = bm25_top(questions, messages, pool * OVERFETCH, index, chats, size=size)
     found = windows_of_messages(cut.select("qid", "chat_id", "msg_id", "rank"), windows)
     if ranges is not None:
         times = windows.select(F.col("id").alias("window_id"), "ts_start", "ts_end")
@@ -172,16 +332,28 @@ def knn(questions: DataFrame, vectors: DataFrame, limit: int, dim: int = 64, ext
     spark = vectors.sparkSession
     columns = ["qid", "vec", *(extra or [])]
     asked = questions.select(*columns)
-    blocks = max(1, -(-asked.count() // BLOCK))
+    first = asked.limit(BLOCK + 1).toArrow()
+    blocks = 1
+    if first.num_rows > BLOCK:
+        asked = cut_lineage(asked)
+        blocks = -(-asked.count() // (BLOCK // 2))
     result = None
     for b in range(blocks):
-        table = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
+        table = first if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
         if not table.num_rows:
             continue
-        rows = table.to_pylist()
-        qids = np.array([r["qid"] for r in rows], dtype=np.int64)
-        matrix = _unit(pa.array([r["vec"] for r in rows], pa.list_(pa.float32())), dim)
-        limits = [(r[extra[0]], r[extra[1]], r[extra[2]]) for r in rows] if extra else None
+        qids = table.column("qid").to_numpy()
+        matrix = _unit(table.column("vec").combine_chunks(), dim)
+        limits = None
+        if extra:
+            lists = table.column(extra[0]).combine_chunks()
+            sizes = np.array([-1 if not v else n for v, n in zip(lists.is_valid().to_pylist(), lists.value_lengths().to_pylist())])
+            owner = np.repeat(np.arange(len(qids)), np.maximum(sizes, 0))
+            chat = lists.flatten().to_numpy(zero_copy_only=False)
+            least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+            free = np.array([v is None for v in table.column(extra[1]).to_pylist()])
+            times = [np.array([default if v is None else v for v in table.column(c).to_pylist()], dtype=np.int64) for c, default in ((extra[1], least), (extra[2], most))]
+            limits = (sizes < 0, owner, chat, free, *times)
         share = spark.sparkContext.broadcast((qids, matrix, limits))
 
         def fn(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
@@ -194,15 +366,21 @@ def knn(questions: DataFrame, vectors: DataFrame, limit: int, dim: int = 64, ext
                 order = np.argsort(batch.column(0).to_numpy(), kind="stable")
                 x, ids = _unit(batch.column(1), dim)[order], batch.column(0).to_numpy()[order]
                 n = len(ids)
-                places = [batch.column(i).to_numpy(zero_copy_only=False)[order] for i in (2, 3, 4)] if limits else None
+                if limits:
+                    place, ts_start, ts_end = (batch.column(i).to_numpy(zero_copy_only=False)[order] for i in (2, 3, 4))
+                    chats, chat_of = np.unique(place, return_inverse=True)
                 for low in range(0, len(q), SLICE):
                     s = np.round(q[low : low + SLICE] @ x.T, 6)
-                    if places:
-                        for k, (chats, start, end) in enumerate(limits[low : low + SLICE]):
-                            if chats is not None:
-                                s[k, ~np.isin(places[0], chats)] = -np.inf
-                            if start is not None:
-                                s[k, ~((places[2] >= start) & (places[1] <= end))] = -np.inf
+                    if limits:
+                        high = min(low + SLICE, len(q))
+                        every, owner, chat, free, start, end = limits
+                        mine = slice(*np.searchsorted(owner, (low, high)))
+                        at = np.minimum(np.searchsorted(chats, chat[mine]), len(chats) - 1)
+                        may = np.repeat(every[low:high, None], len(chats), 1)
+                        hit = chats[at] == chat[mine]
+                        may[owner[mine][hit] - low, at[hit]] = True
+                        seen = may[:, chat_of] & (free[low:high, None] | ((ts_end[None, :] >= start[low:high, None]) & (ts_start[None, :] <= end[low:high, None])))
+                        s[~seen] = -np.inf
                     # one whole number per pair: the score, then the smaller id
                     rank = np.rint(np.where(np.isfinite(s), s, -9) * 1e6).astype(np.int64) * n + (n - 1 - np.arange(n))
                     m = min(limit, n)
@@ -261,7 +439,7 @@ def fuse(keyword: DataFrame, vector: DataFrame, k: int = RRF_K, weights: tuple[f
 
 def hybrid_search(
     questions: DataFrame, messages: DataFrame, windows: DataFrame, vectors: DataFrame, top_k: int = 0, pool: int | None = None,
-    index: DataFrame | None = None, dim: int = 64, filter_first: bool = False,
+    index: DataFrame | None = None, dim: int = 64, filter_first: bool = False, size: DataFrame | None = None,
 ) -> DataFrame:
     """The hits of each question: qid, rank, window_id, score, and the window's columns.
 
@@ -278,7 +456,7 @@ def hybrid_search(
     narrowed = bool(has & {"start", "end", "speaker"})
     pool = pool or top_k * (8 if narrowed else 4)
     ranges = questions.select("qid", "start", "end") if "start" in has else None
-    keyword = keyword_arm(questions, messages, windows, pool, index, ranges, "chats" if "chats" in has else None)
+    keyword = keyword_arm(questions, messages, windows, pool, index, ranges, "chats" if "chats" in has else None, size)
     shown = windows.select(F.col("id").alias("window_id"), "chat_id", "first_msg", "last_msg", "ts_start", "ts_end", "speakers", "text")
     places = vectors.join(shown.select("window_id", "chat_id", "ts_start", "ts_end"), "window_id")
     near = knn(questions.where("vec is not null"), places, pool, dim, ["chats", "start", "end"] if has & {"chats", "start", "end"} else None)

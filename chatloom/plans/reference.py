@@ -261,8 +261,7 @@ def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
     SELECT qid, chat_id, msg_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chat_id, msg_id) AS rank FROM scored) WHERE rank <= 10"""
 )
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    scores = search.bm25(message_questions(spark, d), _messages(spark, d)).withColumn("score", F.round("score", 6))
-    return search.top(scores, "qid", [F.desc("score"), F.col("chat_id"), F.col("msg_id")], 10).select("qid", "chat_id", "msg_id", "score", "rank")
+    return search.bm25_top(message_questions(spark, d), _messages(spark, d), 10, digits=6).select("qid", "chat_id", "msg_id", "score", "rank")
 
 
 @query(
@@ -272,8 +271,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 )
 def chat_scope(spark: SparkSession, d: str) -> DataFrame:
     """Each question sees its own chat only, with the statistics of all."""
-    scores = search.bm25(message_questions(spark, d), _messages(spark, d), chats="chats").withColumn("score", F.round("score", 6))
-    return search.top(scores, "qid", [F.desc("score"), F.col("chat_id"), F.col("msg_id")], 10).select("qid", "chat_id", "msg_id", "score", "rank")
+    return search.bm25_top(message_questions(spark, d), _messages(spark, d), 10, chats="chats", digits=6).select("qid", "chat_id", "msg_id", "score", "rank")
 
 
 # ---------------------------------------------------------------- vectors and fusion
