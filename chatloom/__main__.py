@@ -9,25 +9,26 @@ from pyspark.sql import functions as F
 
 def _load(args, spark, live) -> None:
     from chatloom.operators import store
+    from chatloom.operators.search import postings
+    from chatloom.session import cut_lineage
     from chatloom.sources.export import load_counts, load_exports, read_exports
 
     loaded = load_exports(spark, args.path, live.read("messages").drop("id"))
-    live.write({"messages": store.ensure_column(loaded, "id", "bigint")})
+    loaded = cut_lineage(store.ensure_column(loaded, "id", "bigint"))
+    live.write({"messages": loaded, "postings": postings(loaded)})
     load_counts(read_exports(spark, args.path)).show(truncate=False)
 
 
 def _index(args, spark, live) -> None:
     from chatloom.streaming.live import flush, reindex
 
-    if args.update:
-        flush(live, lookback_days=args.lookback)
-    else:
-        reindex(live, mode=args.labels)
-    live.read("windows").groupBy("chat_id").count().show()
+    done = flush(live, lookback_days=args.lookback, mode=args.labels) if args.update else reindex(live, mode=args.labels)
+    print(f"{done['windows']} windows of {done['chats']} chats")
 
 
 def _people(args, spark, live) -> None:
     from chatloom.operators import store
+    from chatloom.operators.people import people_counts
     from chatloom.sources.export import read_mapping, write_template
 
     if args.mapping:
@@ -36,31 +37,50 @@ def _people(args, spark, live) -> None:
         live.write({"people": store.merge_people(old.unionByName(new), "seq")})
     if args.template:
         write_template(store.sender_template(live.read("messages"), live.read("people")), args.template)
-    live.read("people").groupBy("source").count().show()
+    people_counts(live.read("messages"), live.read("people")).show(truncate=False)
+
+
+def _found(args, spark, live):
+    from chatloom.streaming.engine import find
+
+    return find(live, spark.createDataFrame([(1, args.question)], "qid bigint, question string"), args.now, args.chat, args.k, args.labels)
 
 
 def _search(args, spark, live) -> None:
-    from chatloom.functions.parsing import chat_link, excerpt, time_range, utc_day
-    from chatloom.operators import search
+    from chatloom.functions.parsing import chat_link, excerpt, utc_day
+
+    _, hits = _found(args, spark, live)
+    shown = [F.round("score", 4).alias("score"), utc_day(F.col("ts_start")).alias("day"), chat_link(F.col("chat_id"), F.col("first_msg")).alias("link"), excerpt(F.col("text")).alias("text")]
+    hits.orderBy("rank").select("rank", *shown).show(args.k or 10, truncate=False)
+
 
+def _answer(args, spark, live) -> None:
+    from importlib import import_module
+
+    from chatloom.streaming.engine import ask
+
+    module, _, name = args.model.partition(":")
+    make_model = getattr(import_module(module), name)
     question = spark.createDataFrame([(1, args.question)], "qid bigint, question string")
-    if args.now is not None:
-        r = time_range(F.col("question"), F.lit(args.now).cast("bigint"))
-        question = question.withColumn("r", r).select("qid", "question", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
-    if args.chat:
-        question = question.withColumn("chats", F.array(*[F.lit(c) for c in args.chat]))
-    if args.speaker:
-        question = question.withColumn("speaker", F.lit(args.speaker))
-    windows = live.read("windows")
-    vectors = search.encode_texts(windows.select(F.col("id").alias("window_id"), "text")).select("window_id", "vec")
-    asked = search.encode_texts(question, text_col="question")
-    hits = search.hybrid_search(asked, live.read("messages"), windows, vectors, args.k)
-    hits.orderBy("rank").select("rank", F.round("score", 4).alias("score"), utc_day(F.col("ts_start")).alias("day"), chat_link(F.col("chat_id"), F.col("first_msg")).alias("link"), excerpt(F.col("text")).alias("text")).show(args.k or 10, truncate=False)
+    for r in ask(live, question, make_model, args.model, args.now, args.chat, args.k, args.labels, log=args.log).collect():  # one question
+        print(r.answer)
+        print(r.sources)
+
+
+def _eval(args, spark, live) -> None:
+    from chatloom.operators.search import recall
+    from chatloom.streaming.engine import evaluate
+
+    cases = spark.read.schema("question string, needles array<string>").json(args.cases).withColumn("qid", F.monotonically_increasing_id())
+    results = evaluate(live, cases, args.k)
+    results.orderBy("qid").show(1000, truncate=False)
+    recall(results).show()
 
 
 def main() -> None:
     parser = argparse.ArgumentParser(prog="chatloom", description="Load, index and search chat history.")
     parser.add_argument("--store", required=True, help="folder of the store")
+    parser.add_argument("--checkpoints", help="folder of intermediate results, by default beside the store's tables")
     commands = parser.add_subparsers(dest="command", required=True)
     load = commands.add_parser("load", help="load JSON exports")
     load.add_argument("path")
@@ -74,19 +94,28 @@ def main() -> None:
     people.add_argument("--mapping")
     people.add_argument("--template")
     people.set_defaults(run=_people)
-    search = commands.add_parser("search", help="the best windows for a question")
-    search.add_argument("question")
-    search.add_argument("-k", type=int, default=10)
-    search.add_argument("--chat", type=int, action="append")
-    search.add_argument("--speaker")
-    search.add_argument("--now", type=int, help="epoch seconds that time phrases are read against")
+    asking = argparse.ArgumentParser(add_help=False)
+    asking.add_argument("question")
+    asking.add_argument("-k", type=int, default=10)
+    asking.add_argument("--chat", type=int, action="append")
+    asking.add_argument("--labels", choices=("name", "id", "export"), default="name")
+    asking.add_argument("--now", type=int, help="epoch seconds that time phrases are read against")
+    search = commands.add_parser("search", parents=[asking], help="the best windows for a question")
     search.set_defaults(run=_search)
+    answer = commands.add_parser("answer", parents=[asking], help="an answer with its sources")
+    answer.add_argument("--model", required=True, help="MODULE:FUNCTION that makes a callable of (system, prompt)")
+    answer.add_argument("--log", help="folder of the query log")
+    answer.set_defaults(run=_answer)
+    evaluate = commands.add_parser("eval", help="success at k of golden cases, JSON lines of question and needles")
+    evaluate.add_argument("cases")
+    evaluate.add_argument("-k", type=int, default=10)
+    evaluate.set_defaults(run=_eval)
     args = parser.parse_args()
 
     from chatloom.session import get_session, ship_package
     from chatloom.streaming.live import VersionedStore
 
-    spark = get_session()
+    spark = get_session(**{"spark.checkpoint.dir": args.checkpoints or f"{args.store}/checkpoints"})
     ship_package(spark)
     args.run(args, spark, VersionedStore(spark, args.store))
 

@@ -25,15 +25,17 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+# fixed values: combining marks that the index drops
+DROPPED = "".join(map(chr, (*range(0x300, 0x305), *range(0x306, 0x30D), 0x30F, 0x311, 0x31B, *range(0x323, 0x329), 0x32D, 0x32E, 0x330, 0x331)))
+
+
 def _plain_letters() -> tuple[str, str]:
-    """Latin letters with marks, and the letters they are without them: by Unicode's own decomposition."""
-    marked, plain = [], []
+    """Latin letters with one mark, and the letters they are without it: by Unicode's own decomposition."""
+    pairs = {"\u017f": "s", "\u1e9b": "s"}  # the long s
     for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        base = unicodedata.normalize("NFD", chr(code))[0]
-        if len(unicodedata.normalize("NFD", chr(code))) > 1 and base.isascii() and base.isalpha():
-            marked.append(chr(code).lower() if len(chr(code).lower()) == 1 else chr(code))
-            plain.append(base.lower())
-    pairs = dict(zip(marked, plain))
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha():
+            pairs[chr(code).lower() if len(chr(code).lower()) == 1 else chr(code)] = parts[0].lower()
     return "".join(pairs), "".join(pairs.values())
 
 
@@ -41,8 +43,8 @@ MARKED, PLAIN = _plain_letters()
 
 
 def fold(text: Column) -> Column:
-    """Small letters, Latin ones without their marks; other scripts keep theirs."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Small letters; Latin ones with one mark lose it, those with more and other scripts keep theirs, loose marks fall away."""
+    return F.translate(F.lower(text), MARKED + DROPPED, PLAIN)
 
 
 def document_terms(text: Column) -> Column:
@@ -63,6 +65,7 @@ def words_in_order(token: Column) -> Column:
 
 # ---------------------------------------------------------------- ids, times, senders
 
+# fixed values: kinds of chats in an export
 CHANNELS = ("private_supergroup", "public_supergroup", "private_channel", "public_channel")
 GROUPS = ("private_group", "public_group", "group")
 
@@ -158,6 +161,7 @@ def chat_link(chat_id: Column, first_msg: Column, base: str = "https://t.me/c/")
 
 # ---------------------------------------------------------------- questions
 
+# fixed values: words that lead to a speaker, and the turns of phrase that name one
 SPEAKER_CUE = "(?iu)\\b(did|said|says|told|tell|from|by|according to)\\b"
 
 
@@ -175,6 +179,7 @@ FOLLOW_UP = (
     "(?isu)^(what about(\\s+\\w+){0,3}\\??$|(and|also)\\s+(what|how|who|when|why|the)\\b|how much (was|is|were|are) (it|that|those|them)\\b|"
     "(who|what|when|where|why|how) (was|is|were|are) (it|that|this)\\b|the other one\\b|(and|also|wait)[,!]?\\s+)"
 )
+# fixed values: words that stand for what was said before
 PRONOUN = "(?iu)\\b(it|that|those|them|this|one)\\b"
 
 
@@ -328,6 +333,7 @@ def completion_tokens(prompt_tokens: Column, wanted: Column, cap: Column, small_
 
 def retry_wait(detail: Column, most: float = 20.0) -> Column:
     """Seconds a busy service asks to wait, and a quarter; null where it doesn't, or for too long."""
+    # fixed values: how services say it
     wait = F.regexp_extract(detail, "(?i)try again in (\\d+(?:\\.\\d+)?)\\s*s", 1).try_cast("double") + 0.25
     return F.when(wait <= most, wait)
 
@@ -352,6 +358,24 @@ def next_language(lang: Column, languages: tuple[str, ...] = ("ru", "en")) -> Co
     return F.element_at(F.array(*[F.lit(x) for x in (*languages[1:], languages[0])]), at.cast("int"))
 
 
+def translated(lang: Column, key: str, catalog: dict[str, dict[str, str]], **values: Column) -> Column:
+    """The text of a key in a language of ``catalog`` ({lang: {key: text}}), with ``{name}`` filled in; an unknown language is the first."""
+    languages = tuple(catalog)
+    text = F.lit(catalog[languages[0]].get(key, key))
+    for name in languages[1:]:
+        text = F.when(known_language(lang, languages) == name, F.lit(catalog[name].get(key, catalog[languages[0]].get(key, key)))).otherwise(text)
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
+    return text
+
+
+def info_text(template: Column, updated: Column, source: Column, unknown: Column, stats: Column | None = None) -> Column:
+    """A description with ``{updated}`` and ``{source}`` filled in, escaped for display, and the statistics below if there are any."""
+    shown = F.when(updated == "unknown", unknown).otherwise(updated)
+    text = F.replace(F.replace(template, F.lit("{updated}"), escape_html(shown)), F.lit("{source}"), escape_html(source))
+    return text if stats is None else F.concat(text, F.coalesce(F.concat(F.lit("\n\n"), stats), F.lit("")))
+
+
 def mentions(text: Column, username: Column) -> Column:
     return F.contains(F.lower(text), F.concat(F.lit("@"), F.lower(username)))
 

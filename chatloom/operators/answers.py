@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import parsing as P
 
+# fixed value: the reply to a question without hits
 NOT_FOUND = "I couldn't find that in the chat history."
 INSTRUCTIONS = (
     "You answer questions about a chat from numbered excerpts. Use nothing but the excerpts. Mark what you take from excerpt n with [Wn]. "

@@ -51,6 +51,12 @@ def refresh_postings(index: DataFrame, changed: DataFrame) -> DataFrame:
     return kept.select("term", "chat_id", "msg_id", "tf", "positions", "length").unionByName(postings(changed))
 
 
+def kept_size(messages: DataFrame, index: DataFrame) -> DataFrame:
+    """``corpus_size`` by an index that is kept: no text is read."""
+    terms = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms"))
+    return messages.agg(F.count("*").alias("n")).join(terms).select("n", F.try_divide(F.col("terms").cast("double"), F.col("n")).alias("avg_length"))
+
+
 def corpus_size(messages: DataFrame) -> DataFrame:
     """One row: n documents, avg_length in terms."""
     return messages.agg(F.count("*").alias("n"), F.avg(F.size(document_terms(F.col("text")))).alias("avg_length"))
@@ -491,9 +497,14 @@ def recall(results: DataFrame) -> DataFrame:
     return results.agg(F.coalesce(F.avg(F.col("hit").cast("double")), F.lit(0.0)).alias("recall"), F.count("*").alias("cases"))
 
 
-def encode_texts(texts: DataFrame, dim: int = 64, text_col: str = "text", out_col: str = "vec", encoder=None) -> DataFrame:
+PASSAGE, QUERY = "passage: ", "query: "  # fixed values: what models of this kind are told of a text's part
+
+
+def encode_texts(texts: DataFrame, dim: int = 64, text_col: str = "text", out_col: str = "vec", encoder=None, prefix: str = "") -> DataFrame:
     """``texts`` with a unit vector of each text.
 
+    ``prefix`` stands before each text for an ``encoder`` that wants it.
+
     ``encoder`` maps a list of strings to an array (n, dim) and is loaded once per
     task; without one, words and their neighbours are hashed to signed dimensions,
     which is deterministic and claims no understanding. An empty text gives zeros.
@@ -505,7 +516,7 @@ def encode_texts(texts: DataFrame, dim: int = 64, text_col: str = "text", out_co
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder or hashing_encoder(dim)
         for batch in batches:
-            x = np.asarray(encode([t or "" for t in batch.column(at).to_pylist()]), dtype=np.float32).reshape(-1, dim)
+            x = np.asarray(encode([(prefix if encoder else "") + (t or "") for t in batch.column(at).to_pylist()]), dtype=np.float32).reshape(-1, dim)
             norm = np.linalg.norm(x, axis=1, keepdims=True)
             x = np.where(norm > 0, x / np.maximum(norm, 1e-12), 0).astype(np.float32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim, dtype=np.int32)), pa.array(x.ravel()))

@@ -56,5 +56,25 @@ SELECT CAST(gap_s AS INTEGER) AS gap_s, chat_id, arg_min(msg_id, (ts, msg_id)) A
 FROM s GROUP BY gap_s, chat_id, k
 """
 
+# row by row: a message opens a session after a silence that no reply into the session bridges
+_SESSIONS_SQL = f"""
+WITH RECURSIVE cur AS (
+  SELECT chat_id, msg_id, m.ts AS ts, m.reply_to AS reply_to FROM (
+    SELECT chat_id, msg_id, arg_max({{'ts': ts, 'reply_to': reply_to}}, id) AS m FROM messages WHERE chat_id IS NOT NULL AND msg_id IS NOT NULL GROUP BY 1, 2)
+), o AS (
+  SELECT *, row_number() OVER w AS rn, ts - lag(ts) OVER w AS gap FROM cur WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY chat_id ORDER BY ts, msg_id)
+), r AS (SELECT a.*, b.rn AS target FROM o a LEFT JOIN o b ON b.chat_id = a.chat_id AND b.msg_id = a.reply_to)
+, f AS (
+  SELECT chat_id, rn, rn AS opened FROM r WHERE rn = 1
+  UNION ALL
+  SELECT r.chat_id, r.rn, CASE WHEN r.gap > {GAP} AND NOT coalesce(r.target BETWEEN f.opened AND r.rn - 1, false) THEN r.rn ELSE f.opened END
+  FROM f JOIN r ON r.chat_id = f.chat_id AND r.rn = f.rn + 1
+), s AS (SELECT f.chat_id, f.opened, o.rn, o.msg_id, o.ts FROM f JOIN o USING (chat_id, rn))
+SELECT chat_id, arg_min(msg_id, rn) AS first_msg, arg_max(msg_id, rn) AS last_msg%s FROM s GROUP BY chat_id, opened
+"""
+
 QUERIES = {"p2_found": p2_found, "p2_sessions": p2_sessions, "p2_gap_settings": p2_gap_settings}
-ORACLES = {"p2_gap_settings": P2_GAP_SETTINGS_SQL}
+ORACLES = {
+    "p2_gap_settings": P2_GAP_SETTINGS_SQL, "p2_found": _SESSIONS_SQL % "",
+    "p2_sessions": _SESSIONS_SQL % ", min(ts) AS start_ts, max(ts) AS end_ts, max(ts) - min(ts) AS duration, count(*) AS messages",
+}

@@ -5,11 +5,15 @@ Searches ask every row whose id is divisible by 50, against all rows.
 
 from __future__ import annotations
 
+import unicodedata
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import parsing as P
 from chatloom.operators import limits, search, store
+from chatloom.operators.people import asked_speakers, known_names, people_counts
 from chatloom.operators.windows import WindowRules, build_windows, labelled, window_members, window_spans
 from chatloom.session import read_table
 
@@ -216,7 +220,14 @@ def window_containment(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- full text
 
-_FOLDED = f"translate(lower(%s), '{P.MARKED}', '{P.PLAIN}')"
+# letters of which Unicode says that they are an English letter and one mark, and the marks that the index drops
+_ONE_MARK = {
+    chr(c).lower(): chr(int(d[0], 16)).lower()
+    for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+    if len(d := unicodedata.decomposition(chr(c)).split()) == 2 and d[0][0] != "<" and int(d[0], 16) < 128 and len(chr(c).lower()) == 1
+}
+_MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311\u031b\u0323\u0324\u0325\u0326\u0327\u0328\u032d\u032e\u0330\u0331"
+_FOLDED = f"translate(lower(%s), '{''.join(_ONE_MARK)}\u017f\u1e9b{_MARKS}', '{''.join(_ONE_MARK.values())}ss')"
 _DOCS = f"""docs AS (SELECT chat_id, msg_id, regexp_extract_all({_FOLDED % 'text'}, '[\\p{{L}}\\p{{N}}]+') AS terms FROM cur)
 , toks AS (SELECT chat_id, msg_id, len(terms) AS dl, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM docs)
 , tf AS (SELECT term, chat_id, msg_id, dl, count(*) AS f FROM toks GROUP BY ALL)
@@ -377,15 +388,15 @@ def success_at_k(spark: SparkSession, d: str) -> DataFrame:
     return search.success_at_k(hits, q.select("qid", F.array("question").alias("needles")))
 
 
-@query(f"SELECT w.id AS window_id, n.display_name FROM windows w JOIN (SELECT DISTINCT display_name FROM people WHERE source = 'manual') n ON contains(lower(coalesce(w.speakers, '')), lower(n.display_name))")
+@query(f"SELECT w.id AS window_id, n.display_name FROM windows w JOIN (SELECT DISTINCT display_name FROM people WHERE display_name <> '') n ON contains(lower(coalesce(w.speakers, '')), lower(n.display_name))")
 def speaker_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Windows by the names set by hand that their speakers hold, in any case.
+    """Windows by the names of people that their speakers hold, in any case.
 
     A name can only be found where its first three letters begin a stretch of the
     speakers, so both sides meet on those three letters, or on all that a shorter name has.
     """
     w = read_table(spark, d, "windows").select(F.col("id").alias("window_id"), F.lower(F.coalesce("speakers", F.lit(""))).alias("low"))
-    names = read_table(spark, d, "people").where("source = 'manual'").select("display_name").distinct().withColumn("key", F.substring(F.lower("display_name"), 1, 3))
+    names = read_table(spark, d, "people").where("display_name <> ''").select("display_name").distinct().withColumn("key", F.substring(F.lower("display_name"), 1, 3))
     starts = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))
     of_size = lambda n: F.transform(starts, lambda i: F.substring(F.col("low"), i, F.lit(n)))
     grams = w.withColumn("key", F.explode(F.array_distinct(F.concat(*[of_size(n) for n in (0, 1, 2, 3)]))))
@@ -394,12 +405,17 @@ def speaker_filter(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- scalar functions
 
-_STRIP = f"regexp_replace(%s, '^[{P.SPACE}]+|[{P.SPACE}]+$', '', 'g')"
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_STRIP = f"regexp_replace(%s, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+_OPENING = (
+    r"(?is)^(what about(\s+\w+){0,3}\??$|(and|also)\s+(what|how|who|when|why|the)\b|how much (was|is|were|are) (it|that|those|them)\b|"
+    r"(who|what|when|where|why|how) (was|is|were|are) (it|that|this)\b|the other one\b|(and|also|wait)[,!]?\s+)"
+)
 
 
 @query(
     f"""WITH {CUR}, p AS (SELECT chat_id, msg_id, text, {_STRIP % 'text'} AS q, {_STRIP % "coalesce(lag(text) OVER (PARTITION BY chat_id, sender_id ORDER BY ts, msg_id), '')"} AS prior FROM cur)
-    , f AS (SELECT *, q <> '' AND (regexp_matches(q, '{P.FOLLOW_UP.replace("(?isu)", "(?is)")}') OR (len(regexp_split_to_array(q, '[{P.SPACE}]+')) <= 5 AND regexp_matches(q, '{P.PRONOUN.replace("(?iu)", "(?i)")}'))) AS follow_up FROM p)
+    , f AS (SELECT *, q <> '' AND (regexp_matches(q, '{_OPENING}') OR (len(regexp_split_to_array(q, '{_BLANK}+')) <= 5 AND regexp_matches(q, '(?i)\\b(it|that|those|them|this|one)\\b'))) AS follow_up FROM p)
     SELECT chat_id, msg_id, follow_up, CASE WHEN prior <> '' AND follow_up THEN prior || ' — follow-up: ' || q ELSE q END AS standalone FROM f"""
 )
 def followup_rewrite(spark: SparkSession, d: str) -> DataFrame:
@@ -409,7 +425,37 @@ def followup_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumn("prior", prior).select("chat_id", "msg_id", P.is_follow_up(F.col("text")).alias("follow_up"), P.standalone(F.col("text"), F.col("prior")).alias("standalone"))
 
 
-@query()
+_MONTH_WORD = "(september|february|november|december|january|october|august|march|april|sept|june|july|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+
+
+def _time_ranges() -> str:
+    """The time phrases in SQL; what they mean at ``NOW`` is worked out here with Python's calendar."""
+    now = datetime.fromtimestamp(NOW, timezone.utc)
+    day = now.replace(hour=0, minute=0, second=0)
+    at = lambda t: int(t.timestamp())
+    month, year = day.replace(day=1), day.replace(month=1, day=1)
+    before = (month - timedelta(days=1)).replace(day=1)
+    fixed = [
+        ("last night", "last night", at(day) - 7 * 3600, at(day) + 8 * 3600), ("yesterday", "yesterday", at(day) - 86400, at(day) - 1), ("today", "today", at(day), at(day) + 86399),
+        ("this week", "this week", at(day - timedelta(days=day.weekday())), NOW), ("(last|past) week", "last week", NOW - 7 * 86400, NOW), ("this month", "this month", at(month), NOW),
+        ("last month", "last month", at(before), at(month) - 1), ("this year", "this year", at(year), NOW), ("last year", "last year", at(year.replace(year=year.year - 1)), at(year) - 1),
+    ]
+    cases = lambda value: " ".join(f"WHEN regexp_matches(q, '\\b{p}\\b') THEN {value(label, a, b)}" for p, label, a, b in fixed)
+    named = lambda c: f"""CASE WHEN {c}_m <> '' THEN make_date(coalesce(TRY_CAST({c}_y AS INTEGER), CASE WHEN {c}_n <= {now.month} THEN {now.year} ELSE {now.year - 1} END), {c}_n, 1) END AS {c}_d"""
+    words = lambda c, lead: ", ".join(f"regexp_extract(q, '\\b{lead} {_MONTH_WORD}(?:\\s+(\\d{{4}}))?\\b', {g}) AS {c}_{k}" for g, k in ((1, "m"), (2, "y")))
+    number = lambda c: f"CASE WHEN {c}_m <> '' THEN list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], substr({c}_m, 1, 3)) END AS {c}_n"
+    return f"""WITH t AS (SELECT 'messages' AS tab, id AS row_id, lower(text) AS q FROM messages UNION ALL SELECT 'documents', doc_id, lower(text) FROM documents)
+    , w AS (SELECT *, regexp_extract(q, '\\b(20\\d{{2}}-\\d{{2}}-\\d{{2}})\\b', 1) AS iso, {words('i', 'in')}, {words('s', 'since')} FROM t)
+    , n AS (SELECT *, {number('i')}, {number('s')} FROM w)
+    , d AS (SELECT *, TRY_CAST(iso AS DATE) AS iso_d, {named('i')}, {named('s')} FROM n)
+    , r AS (SELECT tab, row_id,
+        CASE WHEN iso <> '' THEN epoch(iso_d) WHEN i_m <> '' THEN epoch(i_d) WHEN s_m <> '' THEN epoch(s_d) {cases(lambda _, a, b: a)} END AS range_start,
+        CASE WHEN iso <> '' THEN epoch(iso_d) + 86399 WHEN i_m <> '' THEN epoch(i_d + INTERVAL 1 MONTH) - 1 WHEN s_m <> '' THEN {NOW} {cases(lambda _, a, b: b)} END AS range_end,
+        CASE WHEN iso <> '' THEN iso WHEN i_m <> '' THEN monthname(i_d) || ' ' || year(i_d) WHEN s_m <> '' THEN 'since ' || monthname(s_d) || ' ' || year(s_d) {cases(lambda label, a, b: f"'{label}'")} END AS label FROM d)
+    SELECT tab, row_id, CAST(range_start AS BIGINT) AS range_start, CAST(range_end AS BIGINT) AS range_end, label FROM r WHERE range_start IS NOT NULL"""
+
+
+@query(_time_ranges())
 def time_range_parse(spark: SparkSession, d: str) -> DataFrame:
     """The time phrases of messages and documents, seen from a fixed now."""
     m = read_table(spark, d, "messages").select(F.lit("messages").alias("tab"), F.col("id").alias("row_id"), "text")
@@ -422,24 +468,13 @@ def time_range_parse(spark: SparkSession, d: str) -> DataFrame:
     r"""WITH n AS (SELECT DISTINCT display_name, regexp_escape(lower(display_name)) AS e FROM people WHERE length(display_name) >= 3)
     , c AS MATERIALIZED (SELECT id, text, lower(text) AS low FROM messages WHERE regexp_matches(text, '(?i)\b(did|said|says|told|tell|from|by|according to)\b'))
     , j AS MATERIALIZED (SELECT c.id, low, e, display_name FROM c JOIN n ON contains(low, lower(display_name)))
-    SELECT id, arg_max(display_name, (length(display_name), display_name)) AS speaker FROM j
+    SELECT id, arg_min(display_name, (-length(display_name), lower(display_name), display_name)) AS speaker FROM j
     WHERE regexp_matches(low, '(^|[^\p{L}\p{N}_])(?:what |who )?did ' || e || ' (?:say|tell|ask)\b|(^|[^\p{L}\p{N}_])' || e || ' (?:said|says|told|wrote)\b|\b(?:from|by|according to) ' || e || '([^\p{L}\p{N}_]|$)')
     GROUP BY id"""
 )
 def speaker_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Whom a message asks about: the longest known name in one of the turns of phrase.
-
-    Only messages with a cue word are looked at, and names meet them on a word
-    of the name, so there is no comparison of all with all.
-    """
-    m = read_table(spark, d, "messages").select("id", "text").where(F.col("text").rlike(P.SPEAKER_CUE))
-    names = read_table(spark, d, "people").select("display_name").distinct().where(F.length("display_name") >= 3)
-    word = F.regexp_extract(F.lower("display_name"), "([\\p{L}\\p{N}]+)", 1)
-    keyed = names.withColumn("key", word).where("key <> ''")
-    words = m.withColumn("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}]+)")))))
-    asked = words.join(keyed, "key").where(P.asks_about(F.col("text"), F.col("display_name")))
-    best = asked.groupBy("id").agg(F.max(F.struct(F.length("display_name").alias("n"), "display_name")).alias("m"))
-    return best.select("id", F.col("m.display_name").alias("speaker"))
+    """Whom a message asks about: the longest known name in one of the turns of phrase."""
+    return asked_speakers(read_table(spark, d, "messages").select("id", "text"), known_names(read_table(spark, d, "people")))
 
 
 @query(
@@ -560,7 +595,14 @@ def ttl_asof(spark: SparkSession, d: str) -> DataFrame:
     return limits.ttl_lookup(asks, facts, ["user_id"], 43_200).select("id", "user_id", "value")
 
 
-@query()
+@query(
+    """WITH RECURSIVE ev AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS t, row_number() OVER (ORDER BY epoch(ts)::BIGINT, event_id) AS rn FROM events)
+    , f AS (SELECT event_id, user_id, rn, [{'t': t, 'u': user_id}] AS hits, NULL::VARCHAR AS blocked_by FROM ev WHERE rn = 1 UNION ALL
+    SELECT event_id, user_id, rn, CASE WHEN blocked IS NULL THEN list_append(past, {'t': t, 'u': user_id}) ELSE past END, blocked FROM (
+      SELECT *, CASE WHEN len(list_filter(past, lambda h: h.u = user_id)) >= 3 THEN 'user' WHEN len(past) >= 40 THEN 'global' END AS blocked FROM (
+        SELECT e.event_id, e.user_id, e.rn, e.t, list_filter(f.hits, lambda h: h.t > e.t - 3600) AS past FROM f JOIN ev e ON e.rn = f.rn + 1)))
+    SELECT event_id, user_id, blocked_by FROM f"""
+)
 def quota_two_levels(spark: SparkSession, d: str) -> DataFrame:
     return limits.two_level_quota(_events(spark, d), "user_id", "t", "event_id", 3, 40, 3_600.0).select("event_id", "user_id", "blocked_by")
 
@@ -604,7 +646,16 @@ def stats_line(spark: SparkSession, d: str) -> DataFrame:
     return stats(spark, d).select(P.stats_text(*[F.col(c) for c in ("messages", "windows", "embedded", "chats", "first_message", "last_message")]).alias("line"))
 
 
-@query()
+@query(
+    f"""WITH {CUR}, {_DOCS}, {_VECS}, {_WIN_QUESTIONS}, {_KNN % ''}, {_PHRASES} {_BM25} {_keyword(40)} {_fused(40)}
+    , h AS (SELECT b.qid, b.rank, w.* FROM best b JOIN windows w ON w.id = b.window_id WHERE rank <= 10)
+    , l AS (SELECT qid, count(*) AS n, list(id ORDER BY rank) AS ids, max(CASE WHEN rank = 2 THEN strftime(make_timestamp(ts_start * 1000000), '%Y-%m-%d') || ', ' || speakers || ':' END) AS second,
+        string_agg('[W' || rank || ']' || CASE WHEN rank = 2 THEN ' ✓' ELSE '' END || ' ' || strftime(make_timestamp(ts_start * 1000000), '%Y-%m-%d') || ' · ' || speakers || ' · https://t.me/c/' || regexp_replace(chat_id::VARCHAR, '^(-100|-+)', '') || '/' || first_msg, chr(10) ORDER BY rank) AS sources,
+        max(CASE WHEN rank = 2 THEN '<a href="https://t.me/c/' || regexp_replace(chat_id::VARCHAR, '^(-100|-+)', '') || '/' || first_msg || '">[W2]</a>' END) AS link FROM h GROUP BY qid)
+    , a AS (SELECT q.qid, q.question, coalesce(n, 0) AS n, ids, sources, link, CASE WHEN n IS NULL THEN 'I couldn''t find that in the chat history.' ELSE coalesce(second, 'Excerpts:') || ' [W2] [W99]' END AS answer FROM questions q LEFT JOIN l USING (qid))
+    SELECT qid, question, answer, coalesce(ids, []) AS window_ids, CASE WHEN n >= 2 THEN [ids[2]] ELSE [] END AS cited_ids, CASE WHEN n >= 2 THEN [2] WHEN n = 1 THEN [1] ELSE [] END AS source_numbers,
+      coalesce(sources, '') AS sources, replace(replace(replace(replace(answer, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[W2]', coalesce(link, '[W2]')) AS display, 'stand-in' AS model FROM a"""
+)
 def answers(spark: SparkSession, d: str) -> DataFrame:
     """Each question answered by a stand-in for a model: the first line of the second excerpt, cited."""
     from chatloom.operators.answers import answer
@@ -615,3 +666,37 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     q = window_questions(spark, d)
     hits = search.hybrid_search(q, _messages(spark, d), read_table(spark, d, "windows"), search.usable_vectors(read_table(spark, d, "window_vecs"), 64))
     return answer(q, hits, stand_in, "stand-in").drop("latency_ms")
+
+
+_MOVED = "CASE WHEN chat_id % 3 = 0 THEN chat_id - chat_id % 10 - 1 ELSE chat_id END"
+
+
+@query(
+    f"""WITH {CUR}, m AS (SELECT {_MOVED} AS new_chat, chat_id % 3 = 0 AS moved, * FROM cur)
+    , x AS (SELECT new_chat AS chat_id, msg_id, arg_min(text, (moved, reply_to, sender_id, sender, ts, text)) AS text FROM m GROUP BY 1, 2)
+    , s AS (SELECT {_MOVED} AS chat_id, max(last_msg) AS mark FROM windows GROUP BY 1)
+    SELECT 'message' AS kind, chat_id, msg_id AS id, text AS value FROM x
+    UNION ALL SELECT 'window', {_MOVED}, id, text FROM windows
+    UNION ALL SELECT 'mark', chat_id, mark, NULL FROM s"""
+)
+def chat_remap(spark: SparkSession, d: str) -> DataFrame:
+    """Every third chat moves to another id, with its messages, windows and high-water mark."""
+    from chatloom.streaming.live import PREFS_SCHEMA, remap_chats
+
+    messages, windows = _messages(spark, d), read_table(spark, d, "windows")
+    state = windows.groupBy("chat_id").agg(F.max("last_msg").alias("last_indexed_msg_id"))
+    chats = messages.select("chat_id").unionByName(windows.select("chat_id")).distinct().where("chat_id % 3 = 0")
+    moves = chats.select("chat_id", (F.col("chat_id") - F.col("chat_id") % 10 - 1).alias("live_id"))
+    t = remap_chats(messages, windows, state, spark.createDataFrame([], PREFS_SCHEMA), moves)
+    rows = [("message", "messages", "msg_id", F.col("text")), ("window", "windows", "id", F.col("text")), ("mark", "state", "last_indexed_msg_id", F.lit(None).cast("string"))]
+    a, b, c = [t[name].select(F.lit(kind).alias("kind"), "chat_id", F.col(i).alias("id"), value.alias("value")) for kind, name, i, value in rows]
+    return a.unionByName(b).unionByName(c)
+
+
+@query(
+    """SELECT (SELECT count(DISTINCT sender_id) FROM messages) AS senders, (SELECT count(*) FROM people) AS resolved,
+    (SELECT count(DISTINCT sender_id) FROM messages) - (SELECT count(*) FROM people) AS unresolved, (SELECT count(*) FROM people WHERE source = 'manual') AS by_hand"""
+)
+def people_stats(spark: SparkSession, d: str) -> DataFrame:
+    counts = people_counts(read_table(spark, d, "messages"), read_table(spark, d, "people"))
+    return counts.select("senders", "resolved", "unresolved", F.coalesce(F.col("by_source")["manual"], F.lit(0)).alias("by_hand"))

@@ -65,13 +65,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back from it.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Where
-    that is unset (tests, a laptop) a temporary local folder serves.
+    that is unset, a local session takes a temporary folder, and any other raises:
+    the executors of a cluster couldn't read it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chatloom-checkpoint-"))
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="chatloom-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

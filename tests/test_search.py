@@ -121,3 +121,89 @@ def test_postings_follow_edits(spark):
     new = spark.createDataFrame([(1, 2, "d"), (1, 3, "a a")], "chat_id bigint, msg_id bigint, text string")
     got = {(r.term, r.msg_id, r.tf) for r in search.refresh_postings(search.postings(old), new).collect()}
     assert got == {("a", 1, 1), ("b", 1, 1), ("d", 2, 1), ("a", 3, 2)}
+
+
+@pytest.mark.parametrize(("chunk", "held", "few"), [(1_000_000, 4_000_000, 200_000), (40, 30, 0), (7, 1, 200_000)])
+def test_the_best_are_those_of_all_scores(spark, monkeypatch, chunk, held, few):
+    rng = np.random.default_rng(chunk)
+    for name, value in (("CHUNK_ROWS", chunk), ("HELD", held), ("FEW_TOKENS", few), ("BLOCK", 256 if held > 1 else 2)):
+        monkeypatch.setattr(search, name, value)
+    words = ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr_st"]
+    say = lambda n: " ".join(rng.choice(words, n, p=np.array([20, 12, 8, 6, 4, 3, 2, 1, 2]) / 58))
+    docs = spark.createDataFrame([(i % 3, i // 3, say(rng.integers(0, 12)).replace("_", " ")) for i in range(240)], "chat_id bigint, msg_id bigint, text string")
+    asked = [(i, say(4), [None, [0], [1, 2], []][i % 4]) for i in range(12)]
+    q = spark.createDataFrame([*asked, (50, "nothing here", None), (51, None, None), (52, "", [1])], "qid bigint, question string, chats array<bigint>")
+    for chats in (None, "chats"):
+        want: dict = {}
+        for r in search.bm25(q, docs, chats=chats).collect():
+            want.setdefault(r.qid, []).append((-round(r.score, 9), r.chat_id, r.msg_id))
+        got: dict = {}
+        for r in search.bm25_top(q, docs, 5, chats=chats).collect():
+            got.setdefault(r.qid, []).append((r.rank, -round(r.score, 9), r.chat_id, r.msg_id))
+        assert {k: sorted(v)[:5] for k, v in want.items()} == {k: [x[1:] for x in sorted(v)] for k, v in got.items()}
+    assert search.bm25_top(q.where("false"), docs, 5).collect() == [] and search.bm25_top(q, docs.where("false"), 5).collect() == []
+    size = search.kept_size(docs, search.postings(docs)).first()
+    plain = search.corpus_size(docs).first()
+    assert size.n == plain.n and size.avg_length == pytest.approx(plain.avg_length)
+
+
+def test_wide_intervals_take_few_buckets(spark):
+    points = spark.createDataFrame([(1, p) for p in (-(10**17), -5, 0, 7, 10**6, 10**10, 10**17)], "k bigint, p bigint")
+    spans = [(1, -(10**17), 10**17, "all"), (1, 0, 10**10, "wide"), (1, 5, 9, "small"), (1, -6, -5, "neg"), (1, 10**17, 10**17, "one")]
+    got = {(r.p, r.n) for r in search.interval_join(points, spark.createDataFrame(spans, "k bigint, lo bigint, hi bigint, n string"), "k", "p", "lo", "hi", 16).collect()}
+    want = {(p, n) for p in (-(10**17), -5, 0, 7, 10**6, 10**10, 10**17) for _, lo, hi, n in spans if lo <= p <= hi}
+    assert got == want
+    assert search.interval_join(points, spark.createDataFrame([], "k bigint, lo bigint, hi bigint, n string"), "k", "p", "lo", "hi").collect() == []
+
+
+def test_folding_is_that_of_the_full_text_index(spark):
+    from pyspark.sql import functions as F
+
+    from chatloom.functions.parsing import document_terms
+
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table f using fts5(t, tokenize='unicode61')")
+    db.execute("create virtual table v using fts5vocab(f, 'row')")
+    letters = [chr(c) for c in (*range(0xC0, 0x17F), *range(0x1CD, 0x1DD), 0x1D5, 0x1D6, *range(0x1E00, 0x1EFA)) if chr(c).isalpha() and c not in (0x130, 0x149, 0x1E9E)]
+    texts = [f"a{ch}b" for ch in letters] + ["tấn", "cafés", "ǖa", "naïve", "ếa", "Ещё", "йод", "άλφα"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i bigint, t string").select("i", document_terms(F.col("t")).alias("terms")).collect()
+    got = {r.i: r.terms for r in rows}
+    for i, t in enumerate(texts):
+        db.execute("delete from f")
+        db.execute("insert into f values (?)", (t,))
+        assert got[i] == [r[0] for r in db.execute("select term from v")], (t, got[i])
+
+
+def test_people(spark):
+    from chatloom.operators import people as P
+
+    names = spark.createDataFrame([("Bea",), ("abe",), ("Ann Lee",), ("Bo",), (None,), ("",)], "display_name string")
+    texts = spark.createDataFrame([(1, "what did bea say, and what did ABE say?"), (2, "from ann lee or from bea"), (3, "bea is here"), (4, None), (5, "did bo say so")], "id bigint, text string")
+    assert {r.id: r.speaker for r in P.asked_speakers(texts, names).collect()} == {1: "abe", 2: "Ann Lee"}
+    m = spark.createDataFrame([(1, "Private"), (2, None), (2, "")], "sender_id bigint, sender string")
+    shown = spark.createDataFrame([(1, "Ann", "manual"), (3, "", "api")], "sender_id bigint, display_name string, source string")
+    assert {r[0] for r in P.known_names(shown, m).collect()} == {"Ann"} and {r[0] for r in P.known_names(shown, m, "export").collect()} == {"Ann", "Private"}
+    r = P.people_counts(m, shown).first()
+    assert (r.senders, r.resolved, r.unresolved, r.by_source) == (2, 2, 0, {"api": 1, "manual": 1})
+    requests = spark.createDataFrame([(5, 1, True), (6, 1, True), (1, 1, False), (2, 2, False), (3, 3, False)], "chat_id bigint, user_id bigint, is_group boolean")
+    members = spark.createDataFrame([(1, True), (2, None), (3, False)], "user_id bigint, member boolean")
+    assert {(r.chat_id, r.user_id) for r in P.allowed_requests(requests, members, 5).collect()} == {(5, 1), (1, 1)}
+    offered = P.commands_for(spark.createDataFrame([("ask", False), ("reindex", True)], "command string, admin_only boolean"), members, spark.createDataFrame([(2,)], "user_id bigint"))
+    assert {(r.user_id, r.command) for r in offered.collect()} == {(1, "ask"), (2, "ask"), (2, "reindex"), (3, "ask")}
+    template = spark.createDataFrame([(1, 5), (2, 9), (3, 9)], "sender_id bigint, messages bigint")
+    assert [r.sender_id for r in P.busiest_first(template).collect()] == [2, 3, 1] and [r.place for r in P.busiest_first(template, 2).collect()] == [1, 2]
+
+
+def test_texts_of_the_interface(spark):
+    from pyspark.sql import functions as F
+
+    from chatloom.functions import parsing as P
+
+    catalog = {"ru": {"hi": "привет {name}"}, "en": {"hi": "hello {name}"}}
+    rows = spark.createDataFrame([("en",), ("de",), (None,)], "lang string").select(P.translated(F.col("lang"), "hi", catalog, name=F.lit("Bo")).alias("t")).collect()
+    assert [r.t for r in rows] == ["hello Bo", "привет Bo", "привет Bo"]
+    info = spark.range(1).select(
+        P.info_text(F.lit("at {updated} from {source}"), F.lit("unknown"), F.lit("<x>"), F.lit("n/a"), F.lit("5 messages")).alias("a"),
+        P.info_text(F.lit("at {updated}"), F.lit("1 < 2"), F.lit(""), F.lit("n/a"), F.lit(None).cast("string")).alias("b"),
+    ).first()
+    assert info.a == "at n/a from &lt;x&gt;\n\n5 messages" and info.b == "at 1 &lt; 2"
