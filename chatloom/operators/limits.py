@@ -3,8 +3,8 @@
 A fold's state is bounded (a time, at most ``limit`` times, a count) and is as
 good as new after a silence of a known length. So a key's events are spread over
 range partitions like any order-dependent work: a partition with such a silence
-tells the state it ends with whatever it was entered with, and only a run of
-partitions without one is followed one by one.
+tells the state it ends with whatever it was entered with, and only the times of
+a key that fills partitions without one are followed from end to end, by one job.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.operators.ordered import CHUNK, chunk_of, ordered_chunks, runs
+from chatloom.operators.ordered import CHUNK, carry_forward, chunk_of, ordered_chunks, runs
 
 
 class Fold:
@@ -67,30 +68,52 @@ def _per_key(events: DataFrame, key: str, ts: str, tie: str, fold: Callable[[],
 
     # two rows per partition at most
     rows = sorted(chunks.mapInArrow(edges, edge_schema).collect(), key=lambda r: (r["chunk"], not r["first"]))
+    # partitions that a key fills without a silence: their ends follow from one another, key by key in one job
+    unknown = {(r["k"], r["chunk"]) for r in rows if r["last"] and not r["known"]}
+    begins: dict[tuple[str, int], list[float]] = {}
+    before = None
+    for r in rows:
+        if (r["k"], r["chunk"]) in unknown and not (before and before["k"] == r["k"] and (before["k"], before["chunk"]) in unknown):
+            begins[r["k"], r["chunk"]] = list(before["state"]) if r["first"] and before and before["last"] and before["k"] == r["k"] else []
+        before = r
+    ends: dict[tuple[str, int], list[float]] = {}
+    if unknown:
+        asked = spark.sparkContext.broadcast((frozenset(unknown), begins))
+
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                yield batch.filter(pa.array([p in asked.value[0] for p in pairs], pa.bool_()))
+
+        def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out, f, at = [], fold(), None
+            for batch in batches:
+                for k, chunk, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    if (k, chunk) != at:
+                        if at is not None:
+                            out.append((*at, list(f.state)))
+                        if (k, chunk) in asked.value[1]:
+                            f = fold()
+                            f.state = list(asked.value[1][k, chunk])
+                        at = (k, chunk)
+                    f.step(t)
+            if at is not None:
+                out.append((*at, list(f.state)))
+                types = [pa.string(), pa.int32(), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array([[float(x) for x in v] if i == 2 else v for v in c], t) for i, (c, t) in enumerate(zip(zip(*out), types))], names=["k", "chunk", "state"])
+
+        times_of = dict(chunks.dtypes)
+        narrow = chunks.select("__key", CHUNK, ts, tie).mapInArrow(chosen, f"__key string, `{CHUNK}` int, `{ts}` {times_of[ts]}, `{tie}` {times_of[tie]}")
+        ordered = narrow.repartition("__key").sortWithinPartitions("__key", CHUNK, ts, tie)
+        ends = {(r["k"], r["chunk"]): list(r["state"]) for r in ordered.mapInArrow(chain, "k string, chunk int, state array<double>").collect()}
     entered: dict[tuple[str, int], list[float]] = {}
     left: tuple[str, list[float]] | None = None
     for r in rows:
         k, chunk = r["k"], r["chunk"]
-        goes_on = r["first"] and left is not None and left[0] == k
-        if goes_on:
+        if r["first"] and left is not None and left[0] == k:
             entered[k, chunk] = left[1]
         if r["last"]:
-            if r["known"]:
-                left = (k, list(r["state"]))
-            else:
-                begin = entered.get((k, chunk), [])
-
-                def pass_through(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
-                    state, seen = begin, False
-                    for batch in batches:
-                        if batch.num_rows:
-                            state, seen = follow(state, batch.column(0).to_pylist()), True
-                    if seen:  # the other partitions have nothing of it
-                        yield pa.RecordBatch.from_arrays([pa.array([[float(x) for x in state]], pa.list_(pa.float64()))], names=["state"])
-
-                part = chunks.where((F.col(CHUNK) == chunk) & (F.col("__key") == k)).select(ts)
-                end = part.mapInArrow(pass_through, "state array<double>").collect()
-                left = (k, list(end[0]["state"]) if end else [])
+            left = (k, ends[k, chunk] if (k, chunk) in ends else list(r["state"]))
     share = spark.sparkContext.broadcast(entered)
     columns = events.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
@@ -149,38 +172,74 @@ def quota(events: DataFrame, key: str, ts: str, tie: str, limit: int, window: fl
 def two_level_quota(events: DataFrame, user: str, ts: str, tie: str, user_limit: int, global_limit: int, window: float = 3600.0) -> DataFrame:
     """blocked_by: null, ``user`` or ``global``. A request that either level refuses uses up neither.
 
-    The global level is one key by its nature, and its outcome decides what the
-    users have used: this fold runs over all events in one task, streaming, with
-    the accepted events of one window as its state.
+    After a silence of ``window`` both levels are empty, so the events are cut
+    there and the parts fold on their own; a part is one key by its nature and
+    streams through one task, with the accepted events of one window as its state.
     """
-    one = events.withColumn("__all", F.lit(1)).repartition(1).sortWithinPartitions(ts, tie)
+    chunks = ordered_chunks(events.where(F.col(ts).isNotNull()), [], [ts, tie])
+
+    def silences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = chunk = None
+        n = 0
+        for batch in batches:
+            if batch.num_rows:
+                t = batch.column(0).to_numpy(zero_copy_only=False)
+                n += int((np.diff(t if last is None else np.concatenate([[last], t])) >= window).sum())
+                first, last, chunk = t[0] if first is None else first, t[-1], batch.column(1)[0].as_py()
+        if chunk is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([float(first)]), pa.array([float(last)]), pa.array([n], pa.int64())], names=["c", "a", "b", "n"])
+
+    starts: dict[int, tuple[int, float | None]] = {}
+    part, past = 0, None
+    for r in sorted(chunks.select(ts, CHUNK).mapInArrow(silences, "c int, a double, b double, n bigint").collect(), key=lambda r: r["c"]):  # a row for each partition
+        starts[r["c"]] = (part, past)
+        part += r["n"] + (past is not None and r["a"] - past >= window)
+        past = r["b"]
+    share = events.sparkSession.sparkContext.broadcast(starts)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    user_at, ts_at = events.columns.index(user), events.columns.index(ts)
+    ts_at, chunk_at = chunks.columns.index(ts), chunks.columns.index(CHUNK)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            if batch.num_rows:
+                t = batch.column(ts_at).to_numpy(zero_copy_only=False)
+                number, last = share.value[batch.column(chunk_at)[0].as_py()] if state is None else state
+                quiet = np.diff(np.concatenate([[t[0] if last is None else last], t])) >= window
+                numbers = number + np.cumsum(quiet)
+                state = (int(numbers[-1]), t[-1])
+                kept = [(c, v) for i, (c, v) in enumerate(zip(batch.schema.names, batch.columns)) if i != chunk_at]
+                yield pa.RecordBatch.from_arrays([*(v for _, v in kept), pa.array(numbers.astype(np.int64))], names=[*(c for c, _ in kept), "__part"])
+
+    cut = chunks.mapInArrow(parts, fields + ", __part bigint").repartition("__part").sortWithinPartitions("__part", ts, tie)
+
+    at_columns = (events.columns.index(user), events.columns.index(ts))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine: dict[object, deque] = {}
         everyone: deque = deque()
+        at = None
         for batch in batches:
             out = []
-            for u, t in zip(batch.column(user_at).to_pylist(), batch.column(ts_at).to_pylist()):
+            for p, u, t in zip(*(batch.column(i).to_pylist() for i in (batch.num_columns - 1, *at_columns))):
+                if p != at:
+                    mine, everyone, at = {}, deque(), p
                 while everyone and everyone[0][0] <= t - window:
-                    old = mine[everyone.popleft()[1]]
-                    old.popleft()
-                hits = mine.setdefault(u, deque())
-                if user_limit > 0 and len(hits) >= user_limit:
+                    old = everyone.popleft()[1]
+                    mine[old].popleft()
+                    if not mine[old]:
+                        del mine[old]
+                if user_limit > 0 and len(mine.get(u, ())) >= user_limit:
                     out.append("user")
                 elif global_limit > 0 and len(everyone) >= global_limit:
                     out.append("global")
                 else:
-                    hits.append(t)
+                    mine.setdefault(u, deque()).append(t)
                     everyone.append((t, u))
                     out.append(None)
-                if len(mine) > 100_000:
-                    mine = {k: v for k, v in mine.items() if v}
-            kept = batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.string())], names=[*batch.schema.names[:-1], "blocked_by"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*batch.schema.names[:-1], "blocked_by"])
 
-    return one.mapInArrow(fn, fields + ", blocked_by string")
+    return cut.mapInArrow(fn, fields + ", blocked_by string")
 
 
 class _Burst(Fold):
@@ -211,9 +270,6 @@ def ttl_lookup(asks: DataFrame, facts: DataFrame, keys: list[str], ttl: int) ->
     both = facts.select(*keys, "ts", F.lit(0).alias("__kind"), F.lit(None).cast("bigint").alias("id"), "value").unionByName(
         asks.select(*keys, "ts", F.lit(1).alias("__kind"), F.col("id"), F.lit(None).cast(dict(facts.dtypes)["value"]).alias("value"))
     )
-    from pyspark.sql import Window
-
-    before = Window.partitionBy(*keys).orderBy("ts", "__kind", "id").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("__kind") == 0, F.struct("ts", "value")), ignorenulls=True).over(before)
-    held = both.withColumn("__last", last).where("__kind = 1")
-    return held.select(*keys, "ts", "id", F.when(F.col("ts") - F.col("__last.ts") < ttl, F.col("__last.value")).alias("value"))
+    asked = both.withColumns({"__fact": F.col("__kind") == 0, "__id": F.coalesce("id", F.lit(-(2**63)))})
+    held = carry_forward(asked, keys, ["ts", "__kind", "__id"], {"ts": "__ts", "value": "__value"}, "__fact", inclusive=True).where("__kind = 1")
+    return held.select(*keys, "ts", "id", F.when(F.col("ts") - F.col("__ts") < ttl, F.col("__value")).alias("value"))

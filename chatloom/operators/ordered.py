@@ -20,15 +20,18 @@ from chatloom.session import cut_lineage, parallelism
 
 
 CHUNK = "__chunk"
+CHUNK_ROWS = 500_000  # rows of a partition that a task may hold, however many there are in all
 
 
 def ordered_chunks(df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
     """``df`` range-partitioned by (keys, order), sorted, fixed, as a checkpoint, with its partition number ``__chunk``.
 
     The number travels as a column: what a task calls its own partition changes
-    under a union.
+    under a union. ``df`` is made once, and its rows say how many partitions there
+    are: none has much more than ``CHUNK_ROWS``.
     """
-    n = partitions or parallelism(df.sparkSession)
+    df = cut_lineage(df)
+    n = partitions or max(parallelism(df.sparkSession), -(-df.count() // CHUNK_ROWS))
     columns = [*keys, *order]
     return cut_lineage(df.repartitionByRange(n, *columns).sortWithinPartitions(*columns).withColumn(CHUNK, F.spark_partition_id()))
 
@@ -129,3 +132,90 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], name: str =
         *[F.col(f"`{f.name}`") for f in schema.fields if f.name != CHUNK],
         (F.col(name) + F.coalesce(F.col("__before"), F.lit(0))).alias(name),
     )
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], flag: str | None = None, inclusive: bool = False) -> DataFrame:
+    """``df`` with, for each row, columns of the latest row before it of equal ``keys``; null where there is none.
+
+    ``columns``: the new name of each column that is carried. ``flag``, a boolean
+    column, says which rows are carried (all without it); ``inclusive`` counts the
+    row itself. Null keys are equal to each other. Equal to a window over the
+    keys, but no key has to fit into one task: of each partition a row at most
+    goes on to the next.
+    """
+    key = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x01")) for k in keys])  # numpy drops a NUL at the end
+    chunks = ordered_chunks(df.withColumn("__k", key).withColumn("__f", F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(True)), ["__k"], order)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    wanted = list(columns)
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last key of a partition, whether it is the only one, and the last flagged row of it."""
+        at, only, held, chunk = None, True, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = batch.column(batch.schema.get_field_index("__k")).to_numpy(zero_copy_only=False)
+            f = batch.column(batch.schema.get_field_index("__f")).to_numpy(zero_copy_only=False)
+            only = only and bool((k == k[0]).all()) and at in (None, k[0])
+            if k[-1] != at:
+                held = None
+            last = (f & (k == k[-1])).nonzero()[0]
+            if len(last):
+                held = batch.slice(int(last[-1]), 1).select(wanted)
+            at, chunk = k[-1], batch.column(batch.schema.get_field_index(CHUNK))[0].as_py()
+        if at is not None:
+            values = held.columns if held is not None else [pa.nulls(1, t.type) for t in batch.schema if t.name in wanted]
+            names = wanted if held is not None else [t.name for t in batch.schema if t.name in wanted]
+            head = [pa.array([chunk], pa.int32()), pa.array([at]), pa.array([only]), pa.array([held is not None])]
+            row = pa.RecordBatch.from_arrays([*head, *values], names=["__c", "__k", "__only", "__held", *names])
+            yield row.select(["__c", "__k", "__only", "__held", *wanted])
+
+    schema = "__c int, __k string, __only boolean, __held boolean, " + ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in wanted)
+    rows = chunks.mapInArrow(tails, schema).toArrow().sort_by("__c").to_pylist()  # a row for each partition at most
+    entered: dict[int, tuple[str, dict]] = {}
+    carried: tuple[str, dict] | None = None
+    for r in rows:
+        if carried:
+            entered[r["__c"]] = carried
+        if r["__held"]:
+            carried = (r["__k"], {c: r[c] for c in wanted})
+        elif not (r["__only"] and carried and carried[0] == r["__k"]):
+            carried = None
+    share = chunks.sparkSession.sparkContext.broadcast(entered)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past: tuple[str, pa.RecordBatch] | None = None
+        begun = False
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            k = batch.column(batch.schema.get_field_index("__k")).to_numpy(zero_copy_only=False)
+            f = batch.column(batch.schema.get_field_index("__f")).to_numpy(zero_copy_only=False)
+            source = batch.select(wanted)
+            if not begun:
+                begun = True
+                known = share.value.get(batch.column(batch.schema.get_field_index(CHUNK))[0].as_py())
+                if known:
+                    past = (known[0], pa.RecordBatch.from_arrays([pa.array([known[1][c]], source.schema.field(c).type) for c in wanted], names=wanted))
+            # row 0 of the pool is what came before the batch
+            pool = pa.Table.from_batches([past[1].cast(source.schema) if past else pa.RecordBatch.from_arrays([pa.nulls(1, t.type) for t in source.schema], names=wanted), source])
+            start = np.concatenate([[True], k[1:] != k[:-1]])
+            first = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+            latest = np.maximum.accumulate(np.where(f, np.arange(n) + 1, 0))
+            own = latest.copy()
+            if not inclusive:
+                latest = np.concatenate([[0], latest[:-1]])
+            inside = latest > first
+            before = (first == 0) & (past is not None and past[0] == k[0])
+            pick = pa.array(np.where(inside, latest, 0), mask=~(inside | before))
+            taken = pool.combine_chunks().take(pick)
+            kept = [(c, batch.column(i)) for i, c in enumerate(batch.schema.names) if c in kinds]
+            yield from pa.table([*(v for _, v in kept), *(taken.column(c) for c in wanted)], names=[*(c for c, _ in kept), *columns.values()]).combine_chunks().to_batches()
+            if own[-1] > first[-1]:
+                past = (k[-1], source.slice(int(own[-1]) - 1, 1))
+            elif not (first[-1] == 0 and past is not None and past[0] == k[-1]):
+                past = None
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return chunks.mapInArrow(fill, fields + "".join(f", `{new}` {kinds[c].simpleString()}" for c, new in columns.items()))

@@ -29,6 +29,7 @@ from chatloom.session import cut_lineage
 LEAF = -1  # the "gap" of a single event
 TOP = 2**62  # the parent gap of an entity's root
 _NONE = -(2**63)  # a missing reply in the arrays
+CHUNK_ROWS = 250_000  # events of a chunk; the nodes of one take some 100 MB
 
 _NODE = [
     "gap", "parent_gap", "first_ts", "first_id", "first_ref", "last_ts", "last_id", "n",
@@ -129,6 +130,19 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return done
 
 
+def _can_matter(nodes: pd.DataFrame, at: int) -> np.ndarray:
+    """The nodes of a run that a cut at one threshold needs, whatever lies before and after it.
+
+    Sessions are nodes up to the threshold without a known border up to it. Of the
+    gaps above the threshold the first and the last of the run set it off from
+    its neighbours. So a run leaves a handful of open nodes, be its gaps all equal.
+    """
+    low = nodes["gap"].to_numpy() <= at
+    top = low & (nodes["parent_gap"].to_numpy() > at)  # the parent's gap is the smaller of the borders, unknown ones being high
+    above = nodes["pos"].where(~low)
+    return top | (~low & ((above == above.min()) | (above == above.max())).to_numpy())
+
+
 _OPEN_SCHEMA = (
     "entity bigint, gap bigint, parent_gap bigint, first_ts bigint, first_id bigint, first_ref bigint, last_ts bigint, "
     "last_id bigint, n bigint, open int, chunk int, pos bigint, left_known int, right_known int, left_gap bigint, "
@@ -150,7 +164,7 @@ def gap_tree(events: DataFrame, at: int | None = None) -> DataFrame:
     Repeated (entity, ts, id) rows count each; an empty table gives no node.
     """
     events = events.select("entity", "ts", "id", F.coalesce("ref", F.lit(_NONE)).alias("ref")).dropna(subset=["entity", "ts", "id"])
-    n = max(2, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(2, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-events.count() // CHUNK_ROWS))
     chunks = events.repartitionByRange(n, "entity", "ts", "id").sortWithinPartitions("entity", "ts", "id")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +180,8 @@ def gap_tree(events: DataFrame, at: int | None = None) -> DataFrame:
             for c in ("left_gap", "right_gap", "at_ts", "at_id", "at_ref", "before_ts", "before_id"):
                 nodes[c] = np.int64(0)
             if first or last:  # the entity may go on in the chunk before or after
+                if at is not None:
+                    nodes = nodes[_can_matter(nodes, at)]
                 waits = ((nodes["left_known"] == 0) & first) | ((nodes["right_known"] == 0) & last)
                 part = nodes[waits].copy()
                 part["open"] = np.int32(1)
@@ -338,7 +354,7 @@ def sessions(messages: DataFrame, gap: int = 1800, carry_replies: bool = True) -
     chat's or to none doesn't carry. An empty table gives no session.
     """
     current = current_messages(messages, "ts", "reply_to")
-    events = current.select(F.col("chat_id").alias("entity"), "ts", F.col("msg_id").alias("id"), F.col("reply_to").alias("ref"))
+    events = cut_lineage(current.select(F.col("chat_id").alias("entity"), "ts", F.col("msg_id").alias("id"), F.col("reply_to").alias("ref")))
     segments = cut_tree(gap_tree(events, at=gap), gap)
     if carry_replies:
         # only replies that open a segment look up their target

@@ -25,7 +25,7 @@ def p2_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_gap_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tree, cut at several gaps, without the replies."""
     current = current_messages(read_table(spark, sf_dir, "messages"), "ts")
-    events = current.select(F.col("chat_id").alias("entity"), "ts", F.col("msg_id").alias("id"), F.lit(None).cast("long").alias("ref"))
+    events = cut_lineage(current.select(F.col("chat_id").alias("entity"), "ts", F.col("msg_id").alias("id"), F.lit(None).cast("long").alias("ref")))
     tree = cut_lineage(gap_tree(events))
     cuts = [cut_tree(tree, gap).withColumn("gap_s", F.lit(gap)) for gap in GAPS]
     return reduce(DataFrame.unionByName, cuts).select(

@@ -8,11 +8,12 @@ from __future__ import annotations
 import unicodedata
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions import parsing as P
 from chatloom.operators import limits, search, store
+from chatloom.operators.ordered import carry_forward
 from chatloom.operators.people import asked_speakers, known_names, people_counts
 from chatloom.operators.windows import WindowRules, build_windows, labelled, window_members, window_spans
 from chatloom.session import read_table
@@ -421,8 +422,7 @@ _OPENING = (
 def followup_rewrite(spark: SparkSession, d: str) -> DataFrame:
     """Each message as a question after the one before it of the same sender in the chat."""
     m = _messages(spark, d)
-    prior = F.lag("text").over(Window.partitionBy("chat_id", "sender_id").orderBy("ts", "msg_id"))
-    return m.withColumn("prior", prior).select("chat_id", "msg_id", P.is_follow_up(F.col("text")).alias("follow_up"), P.standalone(F.col("text"), F.col("prior")).alias("standalone"))
+    return carry_forward(m, ["chat_id", "sender_id"], ["ts", "msg_id"], {"text": "prior"}).select("chat_id", "msg_id", P.is_follow_up(F.col("text")).alias("follow_up"), P.standalone(F.col("text"), F.col("prior")).alias("standalone"))
 
 
 _MONTH_WORD = "(september|february|november|december|january|october|august|march|april|sept|june|july|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
@@ -609,8 +609,7 @@ def quota_two_levels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CUR} SELECT chat_id, msg_id, lag(text) OVER (PARTITION BY chat_id, sender_id ORDER BY ts, msg_id) AS prior FROM cur")
 def prior_message(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("chat_id", "sender_id").orderBy("ts", "msg_id")
-    return _messages(spark, d).select("chat_id", "msg_id", F.lag("text").over(w).alias("prior"))
+    return carry_forward(_messages(spark, d), ["chat_id", "sender_id"], ["ts", "msg_id"], {"text": "prior"}).select("chat_id", "msg_id", "prior")
 
 
 # ---------------------------------------------------------------- sources

@@ -75,3 +75,65 @@ def test_empty_and_null_keys(spark, fn):
     empty = spark.createDataFrame([], "k bigint, t bigint, id bigint")
     assert fn(empty).collect() == []
     assert fn(spark.createDataFrame([(None, 1, 1), (None, 2, 2)], "k bigint, t bigint, id bigint")).count() == 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_two_levels_are_cut_at_silences_only(spark, seed):
+    rng = random.Random(seed)
+    t, rows = 0, []
+    for i in range(600):
+        t += rng.choice([0, 1, 1, 2, 3, 29, 30, 31, 200]) if seed else 1  # seed 0 is never quiet
+        rows.append((rng.choice([1, 1, 1, 2, 3, None]), t, i))
+    df = spark.createDataFrame(rows, "k bigint, t bigint, id bigint")
+    want, mine, all_ = {}, {}, []
+    for k, t, i in rows:
+        all_ = [x for x in all_ if x > t - 30]
+        h = mine[k] = [x for x in mine.get(k, []) if x > t - 30]
+        blocked = "user" if len(h) >= 3 else "global" if len(all_) >= 7 else None
+        if blocked is None:
+            h.append(t)
+            all_.append(t)
+        want[i] = (blocked,)
+    assert by_id(limits.two_level_quota(df, "k", "t", "id", 3, 7, 30), "blocked_by") == want
+    assert limits.two_level_quota(df.where("false"), "k", "t", "id", 3, 7, 30).collect() == []
+
+
+def test_keys_that_are_never_quiet_fill_partitions(spark, monkeypatch):
+    from chatloom.operators import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 20)
+    rows = sorted([(1, t, t) for t in range(0, 400)] + [(2, t, 1000 + t) for t in range(0, 300, 2)] + [(3, 5, 5000)])
+    df = spark.createDataFrame(rows, "k bigint, t bigint, id bigint")
+    want, last, hits, kept = {}, {}, {}, {}
+    for k, t, i in rows:
+        want[i] = (k not in last or t - last[k] >= 7,)
+        if want[i][0]:
+            last[k] = t
+        h = hits[k] = [x for x in hits.get(k, []) if x > t - 11]
+        kept[i] = (len(h) < 2,)
+        if len(h) < 2:
+            h.append(t)
+    assert by_id(limits.cooldown(df, "k", "t", "id", 7), "accepted") == want
+    assert by_id(limits.quota(df, "k", "t", "id", 2, 11), "accepted") == kept
+
+
+@pytest.mark.parametrize("chunk", [5, 1000])
+def test_rows_are_carried_over_partitions(spark, monkeypatch, chunk):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from chatloom.operators import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", chunk)
+    rng = random.Random(chunk)
+    rows = [(rng.choice([1, 1, 1, 1, None, 2, 3]), i, rng.random() < 0.1, f"v{i}" if rng.random() < 0.9 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k bigint, i bigint, f boolean, v string")
+    order = Window.partitionBy("k").orderBy("i")
+    want = {(r.i, r.a, r.b) for r in df.select("i", F.lag("v").over(order).alias("a"), F.lag("i").over(order).alias("b")).collect()}
+    assert {(r.i, r.a, r.b) for r in ordered.carry_forward(df, ["k"], ["i"], {"v": "a", "i": "b"}).collect()} == want
+    for inclusive in (False, True):
+        frame = order.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        last = F.last(F.when(F.col("f"), F.struct("v", "i")), ignorenulls=True).over(frame)
+        want = {(r.i, r.a, r.b) for r in df.withColumn("l", last).select("i", F.col("l.v").alias("a"), F.col("l.i").alias("b")).collect()}
+        assert {(r.i, r.a, r.b) for r in ordered.carry_forward(df, ["k"], ["i"], {"v": "a", "i": "b"}, "f", inclusive).collect()} == want
+    assert ordered.carry_forward(df.where("false"), ["k"], ["i"], {"v": "a"}).collect() == []

@@ -102,3 +102,27 @@ def test_rank_in_groups(spark):
     for k in {r[0] for r in rows}:
         want |= {(k, o): i for i, o in enumerate(sorted(o for kk, o in rows if kk == k), 1)}
     assert got == want
+
+
+@pytest.mark.parametrize("gap", [0, 100, 1800, 1801, 2000])
+def test_equal_gaps_leave_few_open_nodes(messages_of, monkeypatch, gap):
+    """A hot chat with one interval between all messages, over many chunks."""
+    from chatloom.operators import sessions as S
+
+    monkeypatch.setattr(S, "CHUNK_ROWS", 40)
+    rows = [(i, 1, i, None, 1, "s", i * gap, "x") for i in range(400)] + [(1000 + i, 2, i, None, 1, "s", i * 7000 + (i % 3) * 900, "x") for i in range(90)]
+    m = messages_of(rows)
+    got = {(r.chat_id, r.first_msg, r.last_msg, r.messages) for r in S.sessions(m).collect()}
+    want = set()
+    for chat in (1, 2):
+        mine = sorted((r[6], r[2]) for r in rows if r[1] == chat)
+        run = [mine[0]]
+        for a, b in zip(mine, mine[1:]):
+            if b[0] - a[0] > 1800:
+                want.add((chat, run[0][1], run[-1][1], len(run)))
+                run = []
+            run.append(b)
+        want.add((chat, run[0][1], run[-1][1], len(run)))
+    assert got == want
+    run = S._grow(*(S.np.arange(50, dtype=S.np.int64) * k for k in (gap, 1, 0)))
+    assert S._can_matter(run, 1800).sum() <= 54 and (gap > 1800 or S._can_matter(run, 1800).sum() <= 1)
