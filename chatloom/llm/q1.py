@@ -26,4 +26,9 @@ def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_neighbors": p1_neighbors, "p1_recall": p1_recall}
-ORACLES: dict[str, str] = {}
+# all pairs, by brute force
+ORACLES = {
+    "p1_found": f"""WITH v AS (SELECT window_id, min(vec)::DOUBLE[] AS vec FROM window_vecs WHERE window_id IS NOT NULL AND len(vec) = 64
+      AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY 1)
+    SELECT a.window_id AS window_a, b.window_id AS window_b FROM v a JOIN v b ON a.window_id < b.window_id WHERE list_cosine_similarity(a.vec, b.vec) >= {SIMILAR}""",
+}
