@@ -138,12 +138,14 @@ def bm25_top(
     is spread with them. ``size``: the row of ``corpus_size``, if it is kept.
     """
     spark = messages.sparkSession
-    index = postings(messages) if index is None else index
     phrases = cut_lineage(question_phrases(questions))
-    # by message: of postings that lie so already, as after an upsert, nothing is moved
-    matches = cut_lineage(
-        phrase_matches(phrases, index).groupBy("chat_id", "msg_id").agg(F.max("length").alias("length"), F.collect_list("token").alias("tokens"), F.collect_list("f").alias("f"))
-    )
+    distinct = cut_lineage(phrases.select("token", "phrase").distinct())
+    if index is None and distinct.count() <= FEW_TOKENS:
+        matches = cut_lineage(_asked_by_message(messages, distinct))
+    else:
+        # by message: of postings that lie so already, as after an upsert, nothing is moved
+        found = phrase_matches(phrases, postings(messages) if index is None else index)
+        matches = cut_lineage(found.groupBy("chat_id", "msg_id").agg(F.max("length").alias("length"), F.collect_list("token").alias("tokens"), F.collect_list("f").alias("f")))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("times") * F.when(idf > 0, idf).otherwise(1e-6)
     terms = informative(phrases, matches.select(F.explode("tokens").alias("token")), corpus_size(messages) if size is None else size).where("df > 0").select("qid", "token", weight.alias("weight"), "avg_length")
@@ -161,6 +163,73 @@ def bm25_top(
     return top(result, "qid", [F.desc("score"), F.col("chat_id"), F.col("msg_id")], limit)
 
 
+def _asked_by_message(messages: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(chat_id, msg_id, length, tokens, f) of the messages that hold one of few ``tokens`` (token, phrase), without an index.
+
+    The same as by ``phrase_matches``: each message is cut into its terms and the
+    asked ones are counted where it lies; nothing is moved.
+    """
+    asked = [(r["token"], r["phrase"]) for r in tokens.collect()]  # FEW_TOKENS at most
+    share = messages.sparkSession.sparkContext.broadcast(
+        ([t for t, p in asked if len(p) == 1], [p[0] for _, p in asked if len(p) == 1], [(t, p) for t, p in asked if len(p) > 1])
+    )
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        names, single, several = share.value
+        names = pa.array([*names, *(t for t, _ in several)], pa.string())
+        place = {t: i for i, t in enumerate(single)}
+        for _, phrase in several:
+            for term in phrase:
+                place.setdefault(term, len(place))
+        vocabulary = pa.array(list(place), pa.string())
+        firsts: dict[int, list[tuple[int, list[int]]]] = {}
+        for k, (_, phrase) in enumerate(several, len(single)):
+            firsts.setdefault(place[phrase[0]], []).append((k, [place[t] for t in phrase]))
+        by_token = {place[t]: [] for t in single}
+        for k, t in enumerate(single):
+            by_token[place[t]].append(k)  # tokens such as "a" and "_a" have one term
+        twins = any(len(v) > 1 for v in by_token.values())
+        for batch in batches:
+            lists = batch.column(2)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            term = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            if twins:
+                reps = np.array([len(by_token.get(t, ())) for t in range(len(place))] + [0])
+                hit = np.repeat(np.arange(len(term)), reps[term])
+                flat = np.array([k for t in range(len(place)) for k in by_token.get(t, ())], dtype=np.int64)
+                begin = np.concatenate([[0], np.cumsum(reps[:-1])])
+                within = np.arange(len(hit)) - np.repeat(np.cumsum(reps[term]) - reps[term], reps[term])
+                docs, tok = [row[hit]], [flat[begin[term[hit]] + within]]
+            else:
+                known = (term >= 0) & (term < len(single))
+                docs, tok = [row[known]], [term[known]]
+            if firsts:
+                for t in np.intersect1d(term, np.array(list(firsts))):
+                    at = (term == t).nonzero()[0]
+                    for k, phrase in firsts[int(t)]:
+                        ok = at[at + len(phrase) <= len(term)]
+                        for j, part in enumerate(phrase[1:], 1):
+                            ok = ok[(term[ok + j] == part) & (row[ok + j] == row[ok])]
+                        docs.append(row[ok])
+                        tok.append(np.full(len(ok), k))
+            code, count = np.unique(np.concatenate(docs) * len(names) + np.concatenate(tok), return_counts=True)
+            doc, tok = np.divmod(code, max(1, len(names)))
+            held, start = np.unique(doc, return_index=True)
+            offsets = pa.array(np.append(start, len(doc)).astype(np.int32))
+            pick = pa.array(held)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(sizes[held].astype(np.int32)),
+                 pa.ListArray.from_arrays(offsets, names.take(pa.array(tok))), pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int64)))],
+                names=["chat_id", "msg_id", "length", "tokens", "f"],
+            )
+
+    terms = messages.select("chat_id", "msg_id", document_terms(F.col("text")).alias("terms"))
+    return terms.mapInArrow(fn, "chat_id bigint, msg_id bigint, length int, tokens array<string>, f array<bigint>")
+
+
 def _block_search(spark, rows: pa.Table, limit: int, digits: int):
     """The search of one block of questions over a task's messages, for ``mapInArrow``."""
     token = rows.column("token").combine_chunks().dictionary_encode()

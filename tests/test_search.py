@@ -128,8 +128,8 @@ def test_the_best_are_those_of_all_scores(spark, monkeypatch, chunk, held, few):
     rng = np.random.default_rng(chunk)
     for name, value in (("CHUNK_ROWS", chunk), ("HELD", held), ("FEW_TOKENS", few), ("BLOCK", 256 if held > 1 else 2)):
         monkeypatch.setattr(search, name, value)
-    words = ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr_st"]
-    say = lambda n: " ".join(rng.choice(words, n, p=np.array([20, 12, 8, 6, 4, 3, 2, 1, 2]) / 58))
+    words = ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr_st", "_ab", "ab_ab_cd"]
+    say = lambda n: " ".join(rng.choice(words, n, p=np.array([20, 12, 8, 6, 4, 3, 2, 1, 2, 1, 1]) / 60))
     docs = spark.createDataFrame([(i % 3, i // 3, say(rng.integers(0, 12)).replace("_", " ")) for i in range(240)], "chat_id bigint, msg_id bigint, text string")
     asked = [(i, say(4), [None, [0], [1, 2], []][i % 4]) for i in range(12)]
     q = spark.createDataFrame([*asked, (50, "nothing here", None), (51, None, None), (52, "", [1])], "qid bigint, question string, chats array<bigint>")
