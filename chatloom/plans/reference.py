@@ -389,7 +389,7 @@ def success_at_k(spark: SparkSession, d: str) -> DataFrame:
     return search.success_at_k(hits, q.select("qid", F.array("question").alias("needles")))
 
 
-@query(f"SELECT w.id AS window_id, n.display_name FROM windows w JOIN (SELECT DISTINCT display_name FROM people WHERE display_name <> '') n ON contains(lower(coalesce(w.speakers, '')), lower(n.display_name))")
+@query(f"SELECT w.id AS window_id, n.display_name FROM windows w JOIN (SELECT DISTINCT display_name FROM people) n ON contains(lower(coalesce(w.speakers, '')), lower(n.display_name))")
 def speaker_filter(spark: SparkSession, d: str) -> DataFrame:
     """Windows by the names of people that their speakers hold, in any case.
 
@@ -397,7 +397,7 @@ def speaker_filter(spark: SparkSession, d: str) -> DataFrame:
     speakers, so both sides meet on those three letters, or on all that a shorter name has.
     """
     w = read_table(spark, d, "windows").select(F.col("id").alias("window_id"), F.lower(F.coalesce("speakers", F.lit(""))).alias("low"))
-    names = read_table(spark, d, "people").where("display_name <> ''").select("display_name").distinct().withColumn("key", F.substring(F.lower("display_name"), 1, 3))
+    names = read_table(spark, d, "people").select("display_name").distinct().withColumn("key", F.substring(F.lower("display_name"), 1, 3))
     starts = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))
     of_size = lambda n: F.transform(starts, lambda i: F.substring(F.col("low"), i, F.lit(n)))
     grams = w.withColumn("key", F.explode(F.array_distinct(F.concat(*[of_size(n) for n in (0, 1, 2, 3)]))))
