@@ -1,11 +1,11 @@
 """What a corpus tells about the names of people, learned from the corpus itself.
 
-Seeds are the names of known people. A bounded sample of the texts shows after
-which words those seeds stand ("ask for", "pregunta por"): a context is one of
-names if the share of its occurrences that lead to a known name is above a
-threshold at the lower end of its confidence interval. All texts then tell which
-further words are given names, because they open capitalised pairs in such
-contexts most of the time, and which words are ordinary.
+Seeds are the names of known people. The texts show after which words those
+seeds stand ("ask for", "pregunta por"): a context is one of names if the share
+of its occurrences that lead to a known name is above a threshold at the lower
+end of its confidence interval. They then tell which further words are given
+names, because they open capitalised pairs in such contexts most of the time,
+and which words are ordinary. All of it is counted over all rows and all seeds.
 
 Every threshold is a rate, compared with the lower end of an estimate, so that
 a rule means the same over a thousand rows and over a billion.
@@ -13,6 +13,7 @@ a rule means the same over a thousand rows and over a billion.
 
 from __future__ import annotations
 
+import copy
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,14 +26,13 @@ from pyspark.sql import functions as F
 
 from chatloom.session import cut_lineage
 
-SAMPLE = 100_000  # rows the contexts of names are fitted on, in expectation
-SEEDS = 100_000  # given names of known people they are fitted by, in expectation
 CONTEXT_SHARE = 0.05  # of a context's occurrences that lead to a known name, at least
 GIVEN_SHARE = 0.3  # of a word's capitalised pairs that stand in such a context, at least
 LOWER_RATE, CAPITAL_RATE = 8e-6, 3e-5  # of all words: one this often small, or capitalised, is ordinary
 LOWER_SHARE = 0.25  # of an ordinary word's own occurrences that are small, at least; a name is now and then
 PART_SHARE = 1e-4  # of the family names that begin or end alike, for compounds: at most 10,000 beginnings and ends
 MOST_NAMES = 500_000  # names that are sent to every worker; more are joined to the rows that hold them
+MOST_CONTEXTS = 200_000  # contexts likewise
 Z = 1.64
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
@@ -100,6 +100,12 @@ class Lexicon:
         """This one with the names (word, is given, is family) of one row."""
         return Lexicon(frozenset(w for w, g, _ in known if g), frozenset(w for w, _, f in known if f), self.words, self.contexts, self.heads, self.tails)
 
+    def in_contexts(self, contexts: list[str]) -> Lexicon:
+        """This one with the contexts of one row."""
+        other = copy.copy(self)
+        object.__setattr__(other, "contexts", frozenset(contexts))
+        return other
+
     def ordinary(self, word: str) -> bool:
         return word in self.words
 
@@ -177,85 +183,116 @@ def _unlabelled(text: str) -> str:
     return LABEL.sub("\x01", text) if "[" in text else text
 
 
-def _tally(counter: Counter, names: list[str]) -> pa.RecordBatch:
-    """A counter of (key, column) as rows of key and columns."""
-    rows: dict[str, list[int]] = {}
-    for (key, column), n in counter.items():
-        rows.setdefault(key, [0] * len(names))[column] += n
-    return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), *[pa.array([v[i] for v in rows.values()], pa.int64()) for i in range(len(names))]], names=["key", *names])
+def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    for batch in batches:
+        for t in batch.column(0):
+            if text := t.as_py():
+                yield _unlabelled(text)
+
+
+MOST_COUNTED = 200_000  # different things that a task counts before it passes them on
 
 
-def _counted(texts: DataFrame, text_col: str, names: list[str], count, words: bool = False) -> DataFrame:
-    """The sums of what ``count(text, counter)`` counts in each text, as (key, *names).
+def words_and_pairs(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(first, last, one, two, lower, capital, n): the words and the capitalised pairs of all rows.
 
-    ``words``: the first two columns are how often each word comes small and capitalised.
+    A row without ``last`` is a word, with how often it comes in small letters
+    and with a capital. Any other is a pair in the contexts ``one`` and ``two``,
+    as far as there are any, with how often it comes. All in small letters.
     """
+    names = ["first", "last", "one", "two", "lower", "capital", "n"]
+    kinds = [pa.string()] * 4 + [pa.int64()] * 3
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter: Counter = Counter()
         shown: Counter = Counter()
+        pairs: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
+            words: dict[str, list[int]] = {}
             for word, n in shown.items():
                 if not word.isupper():  # shouting tells nothing
                     low = word.lower()
-                    counter[low, int(word[0] != low[0])] += n
-            return _tally(counter, names)
-
-        for batch in batches:
-            for t in batch.column(0):
-                text = t.as_py()
-                if text:
-                    text = _unlabelled(text)
-                    if words:
-                        shown.update(_PLAIN.findall(text))
-                    count(text, counter)
-            if len(counter) + len(shown) > 200_000:
+                    words.setdefault(low, [0, 0])[word[0] != low[0]] += n
+            rows = [(w, None, None, None, *counts, 0) for w, counts in words.items()] + [(*pair, 0, 0, n) for pair, n in pairs.items()]
+            return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [()] * 7, kinds)], names=names)
+
+        for text in _texts_of(batches):
+            shown.update(_PLAIN.findall(text))
+            for at, _, first, last in pairs_of(text):
+                pairs[(first.lower(), last.lower(), *contexts_before(text, at), None, None)[:4]] += 1
+            if len(shown) + len(pairs) > MOST_COUNTED:
                 yield flush()
-                counter.clear()
                 shown.clear()
-        if counter or shown:
+                pairs.clear()
+        if shown or pairs:
             yield flush()
 
-    schema = "key string, " + ", ".join(f"{n} bigint" for n in names)
-    return texts.select(text_col).mapInArrow(fn, schema).groupBy("key").agg(*[F.sum(n).alias(n) for n in names])
+    rows = texts.select(text_col).mapInArrow(fn, "first string, last string, one string, two string, lower bigint, capital bigint, n bigint")
+    return rows.groupBy("first", "last", "one", "two").agg(*[F.sum(c).alias(c) for c in names[4:]])
 
 
-def learn_contexts(sample: DataFrame, given: frozenset[str], text_col: str = "text") -> frozenset[str]:
-    """The contexts of names, fitted on a bounded sample of texts and the given names of known people.
+_TOKEN_OR_BREAK = re.compile(rf"{TOKEN.pattern}|\n")
 
-    A context is the word, or the two words, before a name. It counts if known
-    names follow it twice or more and in ``CONTEXT_SHARE`` of its occurrences,
-    at the lower end of the confidence interval. The sample bounds their number.
-    """
-    share = sample.sparkSession.sparkContext.broadcast(given)
 
-    def seeds(text: str, counter: Counter) -> None:
-        for at, _, first, last in pairs_of(text):
-            if first.lower() in share.value and last.lower() not in share.value:
-                for c in contexts_before(text, at):
-                    counter[c, 0] += 1
+def occurrences(texts: DataFrame, contexts: frozenset[str] | None, text_col: str = "text") -> DataFrame:
+    """(key, n): how often each word, and each two words of a line, come in all rows; of all of them, or of ``contexts`` only."""
+    share = texts.sparkSession.sparkContext.broadcast(contexts)
 
-    found = {r.key: r.n for r in _counted(sample, text_col, ["n"], seeds).where("n >= 2").collect()}
-    wanted = sample.sparkSession.sparkContext.broadcast((frozenset(c.split(" ")[-1] for c in found), frozenset(found)))
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = share.value
+        one: Counter = Counter()
+        two: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            counter: Counter = Counter()
+            for word, n in one.items():
+                counter[word.lower()] += n
+            for (a, b), n in two.items():
+                if a != "\n" and b != "\n":
+                    counter[f"{a.lower()} {b.lower()}"] += n
+            del counter["\n"]
+            kept = [(c, n) for c, n in counter.items() if wanted is None or c in wanted]
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["key", "n"])
+
+        for text in _texts_of(batches):
+            words = _TOKEN_OR_BREAK.findall(text)
+            one.update(words)
+            two.update(zip(words, words[1:]))
+            if len(one) + len(two) > MOST_COUNTED:
+                yield flush()
+                one.clear()
+                two.clear()
+        if one:
+            yield flush()
 
-    def occurrences(text: str, counter: Counter) -> None:
-        ends, contexts = wanted.value
-        for line in text.split("\n"):
-            words = [w.lower() for w in TOKEN.findall(line)]
-            for i, word in enumerate(words):
-                if word in ends:
-                    if word in contexts:
-                        counter[word, 0] += 1
-                    if i and (both := f"{words[i - 1]} {word}") in contexts:
-                        counter[both, 0] += 1
+    return texts.select(text_col).mapInArrow(fn, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
-    total = {r.key: r.n for r in _counted(sample, text_col, ["n"], occurrences).collect()} if found else {}
-    return frozenset(c for c, n in found.items() if least_share(n, max(n, total.get(c, 0))) >= CONTEXT_SHARE)
 
+def _few(keys: DataFrame) -> frozenset[str] | None:
+    """The contexts of a table, or none if they are too many to be sent to every worker."""
+    rows = keys.select("key").limit(MOST_CONTEXTS + 1).collect()
+    return frozenset(r.key for r in rows) if len(rows) <= MOST_CONTEXTS else None
 
-def word_statistics(texts: DataFrame, contexts: frozenset[str], given: frozenset[str] = frozenset(), text_col: str = "text") -> DataFrame:
-    """(key, lower, capital, paired, led, named) of each word, over all rows.
+
+def learn_contexts(texts: DataFrame, pairs: DataFrame, given: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key): the contexts of names, from all texts, their ``pairs`` and all ``given`` names (key) of known people.
+
+    A context is the word, or the two words, before a name. It counts if known
+    names follow it twice or more and in ``CONTEXT_SHARE`` of its occurrences,
+    at the lower end of the confidence interval.
+    """
+    led = pairs.join(given.select(F.col("key").alias("first")), "first", "left_semi").join(given.select(F.col("key").alias("last")), "last", "left_anti")
+    hits = led.select(F.explode(F.array("one", "two")).alias("key"), "n").where("key is not null").groupBy("key").agg(F.sum("n").alias("hits")).where("hits >= 2")
+    hits = cut_lineage(hits)
+    wanted = _few(hits)
+    if wanted == frozenset():
+        return hits.select("key")
+    shares = hits.join(occurrences(texts, wanted, text_col), "key", "left")
+    return cut_lineage(shares.where(_least_share("hits", F.greatest("hits", F.coalesce("n", F.lit(0)))) >= CONTEXT_SHARE).select("key"))
+
+
+def word_statistics(counted: DataFrame, contexts: DataFrame, given: DataFrame) -> DataFrame:
+    """(key, lower, capital, paired, led, named) of each word of ``words_and_pairs``.
 
     How often it comes in small letters and with a capital, how often it is the
     first name of a capitalised pair, how often of one in a context of names, and
@@ -263,29 +300,30 @@ def word_statistics(texts: DataFrame, contexts: frozenset[str], given: frozenset
     known ``given`` names. Beside a known given name a word rather is a family
     name, which doesn't count as a first one.
     """
-    share = texts.sparkSession.sparkContext.broadcast((contexts, given))
-
-    def count(text: str, counter: Counter) -> None:
-        known, seeds = share.value
-        for at, _, first, last in pairs_of(text):
-            first, last = first.lower().removesuffix("'s"), last.lower().removesuffix("'s")
-            led = any(c in known for c in contexts_before(text, at))
-            if led or first in seeds or last in seeds:
-                counter[first, 4] += 1
-                counter[last, 4] += 1
-            if last not in seeds:
-                counter[first, 2] += 1
-                counter[first, 3] += led
-
-    return _counted(texts, text_col, ["lower", "capital", "paired", "led", "named"], count, words=True)
+    pairs = counted.where("last is not null").select(*[F.regexp_replace(c, "'s$", "").alias(c) for c in ("first", "last")], "one", "two", "n")
+    for column, keys in (("first", given), ("last", given), ("one", contexts), ("two", contexts)):
+        known = keys.select(F.col("key").alias(column), F.lit(True).alias(f"known_{column}"))
+        pairs = pairs.join(known, column, "left").withColumn(f"known_{column}", F.coalesce(f"known_{column}", F.lit(False)))
+    led = F.col("known_one") | F.col("known_two")
+    times = lambda condition: F.when(condition, F.col("n")).otherwise(0)
+    named = times(led | F.col("known_first") | F.col("known_last")).alias("named")
+    roles = F.array(
+        F.struct(F.col("first").alias("key"), times(~F.col("known_last")).alias("paired"), times(~F.col("known_last") & led).alias("led"), named),
+        F.struct(F.col("last").alias("key"), F.lit(0).cast("bigint").alias("paired"), F.lit(0).cast("bigint").alias("led"), named),
+    )
+    in_pairs = pairs.select(F.explode(roles).alias("r")).select("r.*")
+    words = counted.where("last is null").select(F.col("first").alias("key"), "lower", "capital")
+    columns = ["lower", "capital", "paired", "led", "named"]
+    return words.unionByName(in_pairs, allowMissingColumns=True).groupBy("key").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
 
 
 @dataclass(frozen=True)
 class Names:
-    """A lexicon, and where its names are too many to be sent to every worker, their table (word, given, family)."""
+    """A lexicon, and where its names or its contexts are too many to be sent to every worker, their tables (word, given, family) and (key)."""
 
     lexicon: Lexicon
     table: DataFrame | None = None
+    contexts: DataFrame | None = None
 
 
 def learn_names(texts: DataFrame, people: DataFrame, senders: DataFrame | None = None, text_col: str = "text") -> Names:
@@ -295,11 +333,10 @@ def learn_names(texts: DataFrame, people: DataFrame, senders: DataFrame | None =
     (two capitals, letters only), further given names from the texts. Ordinary
     words are those whose rate is at least ``LOWER_RATE`` in small letters or,
     outside of names, ``CAPITAL_RATE`` with a capital, at two and three standard
-    deviations: by that rule at most 1 / LOWER_RATE words. Contexts are bounded by ``SAMPLE``.
-    Names are sent to every worker up to ``MOST_NAMES``; more are kept as a table.
+    deviations: by that rule at most 1 / LOWER_RATE words. Names are sent to every worker up
+    to ``MOST_NAMES``, contexts up to ``MOST_CONTEXTS``; more are kept as tables.
     Null names and texts tell nothing.
     """
-    n = texts.count()
     shown = people.select(F.col("display_name").alias("shown"))
     if senders is not None:
         shown = shown.unionByName(senders.select(F.col("sender").alias("shown")))
@@ -311,12 +348,13 @@ def learn_names(texts: DataFrame, people: DataFrame, senders: DataFrame | None =
     seen = cut_lineage(parts.select(first.alias("given"), last.alias("family")).where("given <> ''").distinct())
     given = seen.groupBy(F.col("given").alias("key")).agg(F.max((F.col("family") != "").cast("int")).alias("sure"))
     sure = given.where("sure = 1").select("key")
-    some = max(1, -(-sure.count() // SEEDS))
-    seeds = frozenset(r.key for r in sure.where(F.pmod(F.xxhash64("key"), F.lit(some)) == 0).collect())
-    sample = texts if n <= SAMPLE else texts.where(F.pmod(F.xxhash64(text_col), F.lit(n)) < SAMPLE)
-    contexts = learn_contexts(sample, seeds, text_col)
+    counted = cut_lineage(words_and_pairs(texts, text_col))
+    led_by = learn_contexts(texts, counted.where("last is not null"), sure, text_col)
+    contexts = _few(led_by)
+    kept = led_by if contexts is None else None
+    contexts = contexts or frozenset()
 
-    counts = cut_lineage(word_statistics(texts, contexts, seeds, text_col))
+    counts = cut_lineage(word_statistics(counted, led_by, sure))
     total = counts.agg(F.sum(F.col("lower") + F.col("capital"))).first()[0] or 0
     least = lambda c, z: F.col(c) - z * F.sqrt(F.col(c))
     counts = counts.withColumn("bare", F.greatest(F.lit(0), F.col("capital") - F.col("named")))
@@ -341,14 +379,14 @@ def learn_names(texts: DataFrame, people: DataFrame, senders: DataFrame | None =
     if len(few) <= MOST_NAMES:
         families = [r.word for r in few if r.family and len(r.word) >= 4]
         heads, tails = (_shared(Counter(part), len(families)) for part in ((f[:4] for f in families), (f[-4:] for f in families)))
-        return Names(Lexicon(frozenset(r.word for r in few if r.given), frozenset(r.word for r in few if r.family), words, contexts, heads, tails))
+        return Names(Lexicon(frozenset(r.word for r in few if r.given), frozenset(r.word for r in few if r.family), words, contexts, heads, tails), contexts=kept)
     families = table.where("family and length(word) >= 4")
     n = families.count()
     heads, tails = (
         _shared({r.part: r["count"] for r in families.groupBy(piece.alias("part")).count().where(F.col("count") >= PART_SHARE * n).collect()}, n)
         for piece in (F.substring("word", 1, 4), F.substring("word", -4, 4))
     )
-    return Names(Lexicon(frozenset(), frozenset(), words, contexts, heads, tails), table)
+    return Names(Lexicon(frozenset(), frozenset(), words, contexts, heads, tails), table, kept)
 
 
 def _shared(parts: dict[str, int], n: int) -> frozenset[str]:

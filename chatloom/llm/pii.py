@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.names import LABEL, TITLE, TOKEN, Lexicon, Names, pairs_of
+from chatloom.llm.names import LABEL, TITLE, TOKEN, Lexicon, Names, contexts_before, pairs_of
 from chatloom.session import cut_lineage
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -566,10 +566,8 @@ class _Spans:
 _NOT_BREAK = re.compile("[^\n]")
 
 
-def find(text: str | None, lexicon: Lexicon) -> list[tuple[int, int, str]]:
-    """(begin, end, kind) of the personal information in a text, in source offsets, without overlaps."""
-    if not text:
-        return []
+def _but_names(text: str, lexicon: Lexicon) -> tuple[Traced, set[str], _Spans, str]:
+    """A text as it is read, its tokens, what is found in it but names, and the text without that."""
     # labels keep their place but not their letters
     source = LABEL.sub(lambda m: "\x01" * len(m.group()), text) if "[" in text else text
     t, tokens = normalise(source, lexicon.no_mailbox)
@@ -588,6 +586,14 @@ def find(text: str | None, lexicon: Lexicon) -> list[tuple[int, int, str]]:
         for begin, end in _addresses(clear, lexicon.ordinary, streets):
             spans.add(begin, end, "address")
         clear = spans.blank(clear) if spans.items else clear
+    return t, tokens, spans, clear
+
+
+def find(text: str | None, lexicon: Lexicon) -> list[tuple[int, int, str]]:
+    """(begin, end, kind) of the personal information in a text, in source offsets, without overlaps."""
+    if not text:
+        return []
+    t, tokens, spans, clear = _but_names(text, lexicon)
     for begin, end in _names(clear, lexicon, tokens & lexicon.names):
         spans.add(begin, end - 2 * clear.endswith("'s", begin, end), "name")  # the ending stays with the text
     return sorted((*t.back(a, b), kind) for a, b, kind in spans.items)
@@ -617,15 +623,27 @@ def _words_of(text: str, pattern=re.compile(r"[^\W\d_]+")) -> set[str]:
     return words | {w.removesuffix("'s") for w in words} | {w.lower() for w in pattern.findall(clear)}
 
 
+def _contexts_of(text: str, lexicon: Lexicon) -> set[str]:
+    """The contexts of a text's capitalised pairs."""
+    if not text:
+        return set()
+    clear = _but_names(text, lexicon)[3]
+    return {c for at, *_ in pairs_of(clear) for c in contexts_before(clear, at)}
+
+
+MODEL = ("__known", "__led")  # columns with the names and the contexts that a row's text has
+
+
 def _with_lexicon(texts: DataFrame, names: Names, text_col: str, pack: Callable[[pa.RecordBatch, pa.Array, Iterator[Lexicon]], pa.RecordBatch], schema: str) -> DataFrame:
     """``texts`` through ``pack``, which gets a batch, its texts, and the lexicon of each of them.
 
     A lexicon that is small enough goes to every worker. Beyond that, the words
-    of each row meet the names in a join, and a row brings along the few it holds.
+    of each row meet the names in a join, and a row brings along the few it holds;
+    so do the contexts of its capitalised pairs.
     """
     share = texts.sparkSession.sparkContext.broadcast(names.lexicon)
     at = texts.columns.index(text_col)
-    if names.table is None:
+    if names.table is None and names.contexts is None:
 
         def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -634,20 +652,37 @@ def _with_lexicon(texts: DataFrame, names: Names, text_col: str, pack: Callable[
         return texts.mapInArrow(fn, schema)
     rows = cut_lineage(texts.withColumn("__row", F.monotonically_increasing_id()))
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sorted(_words_of(t.as_py() or "")) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["__row", "words"])
+    def looked_up(rows: DataFrame, keys: Callable[[str, Lexicon], set[str]], table: DataFrame, out: str) -> DataFrame:
+        """``rows`` with ``out``: the rows of ``table`` (key, ...) whose keys a row's text has."""
+
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [sorted(keys(t.as_py() or "", lexicon)) for t, lexicon in zip(batch.column(1), lexicons(batch))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["__row", "keys"])
+
+        asked = rows.select("__row", text_col, *[c for c in MODEL if c in rows.columns]).mapInArrow(held, "__row bigint, keys array<string>")
+        met = asked.select("__row", F.explode("keys").alias("key")).join(table, "key").groupBy("__row").agg(F.collect_list(F.struct(*table.columns)).alias(out))
+        return rows.join(met, "__row", "left")
+
+    by_words, by_contexts = names.table is not None, names.contexts is not None
+
+    def lexicons(batch: pa.RecordBatch) -> Iterator[Lexicon]:
+        known, led = ([None] * batch.num_rows if c not in batch.schema.names else batch.column(batch.schema.names.index(c)).to_pylist() for c in MODEL)
+        for words, contexts in zip(known, led):
+            lexicon = share.value.among([(w["key"], w["given"], w["family"]) for w in words or ()]) if by_words else share.value
+            yield lexicon.in_contexts([c["key"] for c in contexts or ()]) if by_contexts else lexicon
 
-    held = rows.select("__row", text_col).mapInArrow(words, "__row bigint, words array<string>").select("__row", F.explode("words").alias("word"))
-    known = held.join(names.table, "word").groupBy("__row").agg(F.collect_list(F.struct("word", "given", "family")).alias("__known"))
-    joined = rows.join(known, "__row", "left").select(*texts.columns, "__known")
+    if by_words:
+        rows = looked_up(rows, lambda text, _: _words_of(text), names.table.withColumnRenamed("word", "key"), MODEL[0])
+    if by_contexts:
+        rows = looked_up(rows, _contexts_of, names.contexts, MODEL[1])
+    joined = rows.select(*texts.columns, *[c for c in MODEL if c in rows.columns])
 
     def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lexicons = (share.value.among([(k["word"], k["given"], k["family"]) for k in known or ()]) for known in batch.column(batch.num_columns - 1).to_pylist())
-            plain = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
-            yield pack(plain, batch.column(at), lexicons)
+            width = batch.num_columns - by_words - by_contexts
+            plain = pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width])
+            yield pack(plain, batch.column(at), lexicons(batch))
 
     return joined.mapInArrow(by_row, schema)
 

@@ -2,6 +2,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from chatloom.llm import names as names_module
 from chatloom.llm import pii
@@ -240,3 +241,32 @@ def test_rates_mean_the_same_at_every_size(spark):
     few, many = learn_names(rows, shown).lexicon, learn_names(rows.union(rows).union(rows), shown).lexicon
     assert few.words <= many.words and few.given <= many.given and few.family == many.family
     assert isinstance(Names(few).lexicon, Lexicon)
+
+
+def test_contexts_come_from_all_rows_and_all_seeds(spark):
+    letters = lambda c: F.translate(F.lpad(c.cast("string"), 6, "0"), "0123456789", "abdefgikmn")
+    people = spark.range(110_000).select(F.concat(F.lit("R"), letters(F.col("id")), F.lit(" Skelbourne")).alias("display_name"))
+    # 20 contexts, each twice in 200,000 rows, each time before another name
+    rare = F.concat(F.lit("ask"), letters((F.col("id") / 5000).cast("int") % 20), F.lit(" R"), letters(F.col("id") % 110_000), F.lit(" Skelbourne"))
+    rows = spark.range(200_000).select("id", F.when(F.col("id") % 5000 == 7, rare).otherwise("nothing of note").alias("text"))
+    contexts = learn_names(rows, people).lexicon.contexts
+    assert len(contexts) == 20, sorted(contexts)
+
+
+@pytest.mark.parametrize("most_names", [0, 500_000])
+def test_contexts_beyond_the_broadcast_are_joined(spark, monkeypatch, most_names):
+    texts, _, people = corpus(11, 1500)
+    texts += [(len(texts) + i, t) for i, t in enumerate(["", None, "mail a.b@tidemail.de Verity Ashperbury", "ring Verity Ashperbury, talk to Ursin Corvelcroft"])]
+    rows, shown = spark.createDataFrame(texts, "id bigint, text string"), spark.createDataFrame(people, "sender_id bigint, display_name string")
+    names = learn_names(rows, shown)
+    got = sorted(map(tuple, pii.personal_information(rows, names).collect()))
+    monkeypatch.setattr(names_module, "MOST_CONTEXTS", 0)
+    monkeypatch.setattr(names_module, "MOST_NAMES", most_names)
+    joined = learn_names(rows, shown)
+    assert joined.contexts is not None and not joined.lexicon.contexts and (joined.table is None) == (most_names > 0)
+    assert {r.key for r in joined.contexts.collect()} == names.lexicon.contexts
+    assert sorted(map(tuple, pii.personal_information(rows, joined).collect())) == got and {"name"} <= {g[1] for g in got}
+    bare = Names(Lexicon(names.lexicon.given, names.lexicon.family, names.lexicon.words))
+    assert sorted(map(tuple, pii.personal_information(rows, bare).collect())) != got  # contexts tell something here
+    one, other = ({(r.id, r.redacted) for r in pii.redacted(rows, n).collect()} for n in (names, joined))
+    assert one == other and len(one) == len(texts)
